@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates
 from tidewire.operators.keyed import top_per_key
+from tidewire.sources.mart import estimated_bytes
 
 MAX_PAGE = 100
 
@@ -65,8 +66,7 @@ def feed_filter(news: DataFrame, q: FeedQuery) -> DataFrame:
 
 def small_side(dim: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
     """Broadcast a dimension only when the optimizer's size estimate is under the limit."""
-    size = dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(dim) if int(str(size)) <= limit_bytes else dim
+    return F.broadcast(dim) if estimated_bytes(dim) <= limit_bytes else dim
 
 
 def with_dimensions(news: DataFrame, categories: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -270,7 +270,7 @@ def usage_before_delete(dim: DataFrame, key: str, **uses: DataFrame) -> DataFram
 
 def category_lookup(categories: DataFrame, names: Sequence[str]) -> DataFrame:
     """Upper-cased id and translated names, each mapped to the category id; the lowest id wins a clash."""
-    keys = F.explode(F.array(F.col("id"), *[F.col(n) for n in names]))
+    keys = F.explode(F.array(F.col("id").cast("string"), *[F.col(n) for n in names]))
     flat = categories.select(keys.alias("lookup"), "id").withColumn("lookup", F.upper(F.trim("lookup")))
     return flat.filter(F.col("lookup") != "").groupBy("lookup").agg(F.min("id").alias("category_id"))
 

@@ -136,12 +136,12 @@ def _(t):
 
 
 @query("user_date_span_labels", """WITH s AS (SELECT user_id, date_diff('second', min(ts), max(ts)) // 86400 AS d
-  FROM events WHERE user_id % 3 = 0 OR event_type = 'view' GROUP BY 1)
+  FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT user_id, CASE WHEN d < 1 THEN 'today' WHEN d < 7 THEN d || ' days'
   WHEN d < 30 THEN CAST(ceil(d / 7.0) AS BIGINT) || ' weeks' ELSE CAST(ceil(d / 30.0) AS BIGINT) || ' months' END
   AS span FROM s""")
 def _(t):
-    ev = t.events.filter("user_id % 3 = 0 OR event_type = 'view'")
+    ev = t.events.filter("event_type = 'view'")
     return ev.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
         "user_id", dates.span_label(F.col("a"), F.col("b")).alias("span"))
 
@@ -317,10 +317,8 @@ def _(t):
   UNION ALL SELECT upper(trim(p_name)), p_partkey FROM part UNION ALL SELECT upper(trim(p_brand)), p_partkey FROM part)
 SELECT lookup, CAST(min(id) AS VARCHAR) AS category_id FROM k WHERE lookup <> '' GROUP BY 1""")
 def _(t):
-    cats = t.part.select(F.col("p_partkey").alias("pk"), F.col("p_partkey").cast("string").alias("id"),
-                         F.col("p_name").alias("name"), F.col("p_brand").alias("name_en"))
-    keyed = cats.withColumn("id_text", F.col("id")).withColumn("id", F.col("pk"))
-    return fd.category_lookup(keyed, ["id_text", "name", "name_en"]).select(
+    cats = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("name_en"))
+    return fd.category_lookup(cats, ["name", "name_en"]).select(
         "lookup", F.col("category_id").cast("string").alias("category_id"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.bindings import EventBinding, moment
 from tidewire.registry import Tables
+from tidewire.sources.mart import widen
 
 AS_OF = datetime(2024, 1, 30, 12, 0, 0)
 NOW = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -78,14 +79,15 @@ sess AS (SELECT CAST(install AS VARCHAR) AS session_id, device_os, country_code,
 CATEGORIES = ("sports", "politics", "economy", "technology", "health", "culture", "breaking", "general")
 
 
-def articles(t: Tables) -> DataFrame:
+def articles(t: Tables, wide: bool = False) -> DataFrame:
     """Documents in the shape of the article table: the first sentence is the title."""
+    documents = widen(t.documents) if wide else t.documents
     title = F.trim(F.regexp_extract("text", r"^[^.!?\n]*", 0))
     slug = F.substring(F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}]+", "-"), F.lit("-")), 1, 60)
     hours = ((F.col("doc_id") * 7919) % 3000 - 24).cast("int")
     day = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(hours=hours)
     cats = F.array(*[F.lit(c) for c in CATEGORIES])
-    return t.documents.select(
+    return documents.select(
         F.col("doc_id").alias("id"), title.alias("title"), F.substring("text", 1, 200).alias("summary"),
         F.col("text").alias("content"), F.col("lang").alias("language"),
         F.element_at(cats, (F.col("doc_id") % 8 + 1).cast("int")).alias("category"),
@@ -99,6 +101,11 @@ def articles(t: Tables) -> DataFrame:
     )
 
 
+def wide_articles(t: Tables) -> DataFrame:
+    """Articles for CPU-heavy text work."""
+    return articles(t, wide=True)
+
+
 ART = f"""
 art0 AS (SELECT *, trim(regexp_extract(text, '^[^.!?\\n]*')) AS title FROM documents),
 art AS (SELECT doc_id AS id, title, substr(text, 1, 200) AS summary, text AS content, lang AS language,

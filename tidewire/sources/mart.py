@@ -37,3 +37,19 @@ def conform(df: DataFrame, schema: T.StructType | str, defaults: dict[str, objec
             col = F.lit(default).cast(field.dataType)
         out.append(col.alias(field.name))
     return df.select(*out)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a frame."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def widen(df: DataFrame, small: int = 16 << 20) -> DataFrame:
+    """Spread a small table over the cores before CPU-heavy work.
+
+    A file of one row group is read by a single task however many cores there
+    are. Inputs with more than ``small`` bytes per core come in enough splits
+    already and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < cores * small else df
