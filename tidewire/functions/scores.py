@@ -259,7 +259,7 @@ def weighted_share_category(hits: Column) -> Column:
         return F.size(r["matched"]) / r["size"]
 
     best = _best(hits, share)
-    value = F.least(share(best), F.lit(1.0))
+    value = share(best)
     weak = F.coalesce(value < 0.2, F.lit(True))
     return F.struct(
         F.when(weak, "varieties").otherwise(best["category"]).alias("category"),
