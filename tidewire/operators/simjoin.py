@@ -156,25 +156,35 @@ def sparse_cosine_pairs(vectors: DataFrame, t: float) -> DataFrame:
     flat = flat.join(F.broadcast(hot_tokens(names)), "token", "left")
     entry = F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("token"), F.col("weight"))
     ordered = flat.groupBy("key").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(entry), asc=False).alias("common_first"))
-    # walk from the most common term and drop terms while the dropped part stays shorter than t
-    start = F.struct(F.lit(0.0).alias("sq"), F.array().cast("array<struct<df:bigint,token:string,weight:double>>").alias("kept"))
+    # walk from the most common term; sq is the squared length from a term to the common end, and terms
+    # whose sq stays below t * t need no index entry
+    start = F.struct(F.lit(0.0).alias("sq"), F.array().cast("array<struct<token:string,tail:double>>").alias("kept"))
     limit = t * t - EPS
 
     def step(acc: Column, e: Column) -> Column:
         sq = acc["sq"] + e["weight"] * e["weight"]
-        return F.struct(sq.alias("sq"), F.when(sq < limit, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(e))).alias("kept"))
+        mark = F.struct(e["token"].alias("token"), F.sqrt(sq).alias("tail"))
+        return F.struct(sq.alias("sq"), F.when(sq < limit, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(mark))).alias("kept"))
 
     head = F.aggregate("common_first", start, step, lambda acc: acc["kept"])
-    index = ordered.select("id", F.explode(head).alias("e")).select("id", F.col("e.token").alias("sig"))
+    index = ordered.select("id", F.explode(head).alias("e")).select("id", F.col("e.token").alias("sig"), F.col("e.tail").alias("tail"))
+    # at the rarest shared term everything shared lies in the two tails
     cands = (
-        index.toDF("a", "sig").join(index.toDF("b", "sig"), "sig").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+        index.toDF("a", "sig", "tail_a").join(index.toDF("b", "sig", "tail_b"), "sig")
+        .filter((F.col("a") < F.col("b")) & (F.col("tail_a") * F.col("tail_b") >= t - EPS)).select("a", "b").distinct()
     )
-    side = folded.select("id", "n_copies", F.map_from_entries("terms").alias("v"))
-    both = cands.join(side.toDF("a", "copies_a", "va"), "a").join(side.toDF("b", "copies_b", "vb"), "b")
-    shared = F.array_intersect(F.map_keys("va"), F.map_keys("vb"))
-    dot = F.aggregate(shared, F.lit(0.0), lambda acc, k: acc + F.col("va")[k] * F.col("vb")[k])
-    return both.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "copies_a", "copies_b",
-                       F.least(dot, F.lit(1.0)).alias("cosine")).filter(F.col("cosine") >= t - EPS)
+    found = pair_dots(cands, folded).filter(F.col("dot") >= t - EPS)
+    copies = folded.select("id", "n_copies")
+    return found.join(copies.toDF("a", "copies_a"), "a").join(copies.toDF("b", "copies_b"), "b").select(
+        F.col("a").alias("id_a"), F.col("b").alias("id_b"), "copies_a", "copies_b", F.least("dot", F.lit(1.0)).alias("cosine"))
+
+
+def pair_dots(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(a, b, dot) of given pairs that share a term; ``vectors`` has (id, terms: array<(term, weight)>)."""
+    left = pairs.select("a", "b").join(vectors.select(F.col("id").alias("a"), F.col("terms").alias("__t")), "a").select(
+        "a", "b", F.inline("__t"))
+    right = vectors.select(F.col("id").alias("b"), F.inline("terms")).withColumnRenamed("weight", "__w")
+    return left.join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("weight") * F.col("__w")).alias("dot"))
 
 
 # --- dense vectors ----------------------------------------------------------------------
