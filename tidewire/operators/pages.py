@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from datetime import datetime
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,20 +78,26 @@ def html_rows(html: str) -> list[dict]:
     return parser.rows
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+ARROW_NODES = pa.schema([
+    ("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()),
+    ("path", pa.list_(pa.int32())), ("tag", pa.string()), ("class_name", pa.string()), ("id_attr", pa.string()),
+    ("role", pa.string()), ("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for page_id, html in zip(batch["page_id"], batch["html"]):
+        for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
             rows = html_rows(html)
+            for row in rows:
+                row["page_id"] = page_id
             if rows:
-                frame = pd.DataFrame(rows)
-                frame.insert(0, "page_id", page_id)
-                yield frame[columns]
+                yield pa.RecordBatch.from_pylist(rows, schema=ARROW_NODES)
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
     """One row per element of every page."""
-    return pages.select("page_id", "html").mapInPandas(_parse, NODE_SCHEMA)
+    return pages.select("page_id", "html").mapInArrow(_parse, NODE_SCHEMA)
 
 
 def register_html_udtf(spark, name: str = "html_nodes") -> None:
