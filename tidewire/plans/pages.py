@@ -8,7 +8,6 @@ from tidewire.functions import predicates as pr
 from tidewire.functions import text as tx
 from tidewire.operators import pages as pg
 from tidewire.plans import sqltext as sq
-from tidewire.plans.texts import _NOISY
 from tidewire.plans.views import AS_OF
 from tidewire.registry import query
 from tidewire.session import cut_lineage
@@ -78,9 +77,12 @@ def _(t):
     return pg.link_scores(pg.page_links(_nodes(t), t.pages), 3).select("page_id", "target", "score", "rank")
 
 
-@query("page_images")
+@query("page_images", "SELECT page_id, 'https://cdn.example.com/' || page_id || '.jpg' AS image, CAST(10 AS INT) AS score FROM pages")
 def _(t):
-    nodes = _nodes(t)
+    tags = F.concat(F.lit('<img src="/img/'), C("page_id") % 5, F.lit('.jpg" alt="'), F.lit("story"), F.lit('" width="900" height="600">'),
+                    F.lit('<img src="https://cdn.example.com/small.jpg" width="10" height="10"><meta property="og:image" content="https://cdn.example.com/'),
+                    "page_id", F.lit('.jpg">'))
+    nodes = pg.page_nodes(widen(t.pages.withColumn("html", F.concat("html", tags))))
     titles = pg.page_metadata(nodes).select("page_id", "title")
     return pg.best_images(pg.image_candidates(nodes, t.pages), titles).select("page_id", "image", "score")
 
@@ -109,18 +111,6 @@ def _(t):
     return widen(t.pages).select("page_id", F.md5(pg.main_text(C("html"))).alias("content"))
 
 
-def _cgrams(x):
-    return f"CASE WHEN length({x}) >= 3 THEN list_distinct(list_transform(range(1, length({x}) - 1), lambda i: substr({x}, i, 3))) ELSE [] END"
-
-
-def _wgrams(x):
-    w = sq.words(x, 2)
-    return f"CASE WHEN len({w}) >= 2 THEN list_distinct(list_zip({w}[1:-2], {w}[2:])) ELSE [] END"
-
-
-_PAR = """list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 1)"""
-
-
 @query("relevant_paragraphs")
 def _(t):
     docs = widen(t.documents)
