@@ -120,7 +120,7 @@ def url_key(url: Column) -> Column:
 def is_article_url(url: Column) -> Column:
     low = F.lower(url)
     seg = segments(url)
-    n = F.size(seg)
+    n, first = F.size(seg), F.coalesce(F.get(seg, 0), F.lit(""))
     p = F.lower(path(url))
     joined = F.lower(F.concat(F.lit("/"), F.array_join(F.transform(seg, decode), "/")))
     index_names = F.array(*[F.lit(s) for s in SECTION_INDEX])
@@ -134,9 +134,9 @@ def is_article_url(url: Column) -> Column:
         | joined.rlike(NON_ARTICLE_PATTERN)
         | F.arrays_overlap(tail, index_names)
         | (n == 0)
-        | ((n == 1) & (F.length(F.element_at(seg, 1)) < 10))
+        | ((n == 1) & (F.length(first) < 10))
         | p.rlike(LISTING_PATTERN)
-        | ((n >= 2) & (digits == n - 1) & (F.length(F.element_at(seg, 1)) < 5))
+        | ((n >= 2) & (digits == n - 1) & (F.length(first) < 5))
     )
     return F.coalesce(url.startswith("http") & (host(url) != "") & ~bad, F.lit(False))
 
