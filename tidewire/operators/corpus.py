@@ -114,6 +114,23 @@ def term_vector(title: Column, summary: Column, content: Column, content_chars:
     return bags.unit_weights(bags.counted(F.concat(t, t, t, s, s, c)))
 
 
+def idf_weighted(vectors: DataFrame) -> DataFrame:
+    """(id, terms) with each weight times ln((N + 1) / (df + 1)), scaled back to length one.
+
+    Plain term counts make any two texts of a language alike; grouping and search
+    for like articles therefore use these weights.
+    """
+    flat = vectors.select("id", F.inline("terms"))
+    seen = flat.groupBy("term").agg(F.count("*").alias("df"))
+    total = vectors.agg(F.count("*").alias("docs"))
+    idf = seen.crossJoin(F.broadcast(total)).select("term", F.log((F.col("docs") + 1) / (F.col("df") + 1)).alias("idf"))
+    rows = flat.join(idf, "term").filter(F.col("idf") > 0).groupBy("id").agg(
+        F.collect_list(F.struct("term", (F.col("weight") * F.col("idf")).alias("n"))).alias("terms"))
+    none = F.array().cast("array<struct<term:string,weight:double>>")
+    return vectors.select("id").join(rows, "id", "left").select(
+        "id", F.coalesce(bags.unit_weights(F.col("terms")), none).alias("terms"))
+
+
 def entity_overlap(a: Column, b: Column) -> Column:
     """Jaccard, raised by 1.3 (to at most 1) when two or more are shared."""
     sim = tx.jaccard(a, b)
@@ -569,23 +586,34 @@ def relevance(as_of: datetime, premium: Sequence[str] = PREMIUM) -> Column:
         (F.coalesce("ai_summary", F.lit("")) != "", 0.1), (F.col("translated"), 0.05), (F.col("verified"), 0.1), (F.col("is_duplicate"), -0.3)))
 
 
-def personal_scores(
-    articles: DataFrame, interests: DataFrame, interactions: DataFrame, users: DataFrame, as_of: datetime,
+def personal_feed(
+    articles: DataFrame, interests: DataFrame, interactions: DataFrame, users: DataFrame, as_of: datetime, n: int,
     premium: Sequence[str] = PREMIUM[:4] + ("aljazeera",),
 ) -> DataFrame:
-    """(user_id, id, score) for the articles a user shares an interest with or has touched.
-
-    ``interests``: (user_id, topic, weight); ``interactions``: (user_id, id, n). Other
-    articles score the same for everyone and are ranked by :func:`base_score`.
+    """(user_id, id, score): the ``n`` best articles of every user.
+
+    ``interests``: (user_id, topic, weight >= 0); ``interactions``: (user_id, id, n).
+    Articles without an entity a user cares for, and untouched by that user,
+    differ only by base score and category. So per user it is enough to look at
+    the best ``n`` of each category of interest, the best ``n`` of all, and the
+    articles that stand out for that user; users and articles are never crossed.
+    Ties are broken by the unclamped score, then by id.
     """
-    topics = articles.select("id", F.explode(F.transform("entities", lambda e: F.lower(e))).alias("topic"), F.lit(0.15).alias("factor")).unionByName(
-        articles.select("id", F.lower("category").alias("topic"), F.lit(0.1).alias("factor")))
-    gain = interests.join(topics, "topic").groupBy("user_id", "id").agg(F.sum(F.col("weight") * F.col("factor")).alias("gain"))
-    touched = gain.join(interactions, ["user_id", "id"], "full")
-    base = articles.select("id", base_score(as_of, premium).alias("base"))
-    score = F.col("base") + F.coalesce("gain", F.lit(0.0)) + F.least(F.coalesce("n", F.lit(0)) * 0.02, F.lit(0.2))
-    return touched.join(users.select("user_id"), "user_id", "left_semi").join(base, "id").select(
-        "user_id", "id", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
+    base = articles.select("id", F.lower("category").alias("category"), base_score(as_of, premium).alias("base"))
+    named = articles.select("id", F.explode(F.transform("entities", lambda e: F.lower(e))).alias("topic"))
+    gain = interests.join(named, "topic").groupBy("user_id", "id").agg(F.sum(F.col("weight") * 0.15).alias("gain"))
+    special = gain.join(interactions.select("user_id", "id", "n"), ["user_id", "id"], "full")
+    best = [F.desc("base"), F.asc("id")]
+    liked = interests.select("user_id", F.col("topic").alias("category"))
+    per_category = top_per_key(base, ["category"], best, n).join(liked, "category").select("user_id", "id")
+    overall = users.select("user_id").crossJoin(F.broadcast(base.orderBy(*best).limit(n).select("id")))
+    wanted = special.select("user_id", "id").unionByName(per_category).unionByName(overall).distinct()
+    wanted = wanted.join(users.select("user_id"), "user_id", "left_semi").join(base, "id").join(special, ["user_id", "id"], "left").join(
+        interests.select("user_id", F.col("topic").alias("category"), F.col("weight").alias("taste")), ["user_id", "category"], "left")
+    raw = (F.col("base") + F.coalesce("gain", F.lit(0.0)) + F.coalesce("taste", F.lit(0.0)) * 0.1
+           + F.least(F.coalesce("n", F.lit(0)) * 0.02, F.lit(0.2)))
+    ranked = top_per_key(wanted.withColumn("raw", F.round(raw, 9)), ["user_id"], [F.desc("raw"), F.asc("id")], n)
+    return ranked.select("user_id", "id", F.least(F.greatest(F.col("raw"), F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def base_score(as_of: datetime, premium: Sequence[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.functions import bags
+from tidewire.functions import bags, dates
 from tidewire.functions import scores as sc
 from tidewire.functions import text as tx
 from tidewire.functions import url as ux
@@ -16,7 +16,7 @@ from tidewire.operators.keyed import ranked_per_key, top_per_key
 from tidewire.plans import sqltext as sq
 from tidewire.plans.extraction import _KW
 from tidewire.plans.texts import _PARTS, _PRIORITY, _WORDSET, _BAD_URL
-from tidewire.plans.views import ART, AS_OF, EV, NOW, article_events, articles as thin_articles, sql_bridge, sql_stamp, stamp
+from tidewire.plans.views import ART, AS_OF, EV, NOW, article_events, articles as thin_articles, reader_events, sql_bridge, sql_stamp, stamp
 from tidewire.plans.views import wide_articles as articles
 from tidewire.registry import query
 from tidewire.session import cut_lineage
@@ -177,13 +177,22 @@ def phrase_hits(index, words):
 # --- vectors ----------------------------------------------------------------------------
 
 
-def _features(t):
-    # the vectors are read many times; written once they are not computed again
+def _signals(t):
     words = ex.keywords(C("content"), 7)
-    return cut_lineage(articles(t).select(
-        "id", cp.term_vector(C("title"), C("summary"), C("content")).alias("vector"),
-        cp.entity_set(C("title"), C("content"), words, C("category")).alias("entities"), words.alias("keywords"),
-        "published_at", tx.significant_words(C("title")).alias("title_words"), "category"))
+    return articles(t).select(
+        "id", cp.entity_set(C("title"), C("content"), words, C("category")).alias("entities"), words.alias("keywords"),
+        "published_at", tx.significant_words(C("title")).alias("title_words"), "category")
+
+
+def _vectors(t):
+    # the vectors are read many times; written once they are not computed again
+    v = cp.term_vector(C("title"), C("summary"), C("content"))
+    return cut_lineage(articles(t).select("id", v.alias("terms")))
+
+
+def _features(t):
+    weighted = cp.idf_weighted(_vectors(t)).withColumnRenamed("terms", "vector")
+    return cut_lineage(_signals(t).join(weighted, "id"))
 
 
 _VEC = f"""tok AS (SELECT id, unnest({sq.tokens(sq.normalize('title'))}) AS term, 3 AS w FROM art
@@ -198,9 +207,25 @@ def _(t):
     return articles(t).select("id", F.inline(v)).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query("cosine_pairs")
+_IDF = f"""dfs AS (SELECT term, count(*) AS df FROM vec GROUP BY 1), iw AS (SELECT id, term, weight * ln(((SELECT count(*) FROM art) + 1) / (df + 1)) AS w FROM vec JOIN dfs USING (term)),
+iz AS (SELECT id, sqrt(sum(w * w)) AS z FROM iw GROUP BY 1), ivec AS (SELECT id, term, w / z AS weight FROM iw JOIN iz USING (id) WHERE w > 0)"""
+
+
+@query("idf_vectors", f"WITH {ART}, {_VEC}, {_IDF} SELECT id, count(*) AS terms, round(sum(weight), 5) AS total FROM ivec GROUP BY 1")
 def _(t):
-    return _rounded(simjoin.sparse_cosine_pairs(_features(t).select("id", C("vector").alias("terms")), 0.95), "cosine")
+    v = cp.idf_weighted(_vectors(t)).select("id", F.inline("terms"))
+    return v.groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"))
+
+
+@query("cosine_pairs", f"""WITH {ART}, {_VEC}, {_IDF}, k AS (SELECT md5(title || '|' || summary || '|' || content) AS k, min(id) AS id FROM art GROUP BY 1),
+v AS (SELECT ivec.* FROM ivec JOIN k USING (id)), p AS (SELECT a.id AS a, b.id AS b, sum(a.weight * b.weight) AS c FROM v a JOIN v b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
+SELECT a AS id_a, b AS id_b, round(least(c, 1.0), 5) AS cosine FROM p WHERE c >= 0.55""")
+def _(t):
+    # texts that are the same to the letter count once
+    key = F.md5(F.concat_ws("|", "title", "summary", "content"))
+    first = articles(t).groupBy(key.alias("k")).agg(F.min("id").alias("id"))
+    weighted = cp.idf_weighted(_vectors(t)).join(first, "id", "left_semi")
+    return simjoin.sparse_cosine_pairs(weighted, 0.55, fold=False).select("id_a", "id_b", F.round("cosine", 5).alias("cosine"))
 
 
 _ENTS = "CASE WHEN category = 'general' THEN kw ELSE list_append(kw, '_cat:' || category) END"
@@ -219,12 +244,12 @@ def _overlap(a, b):
 
 _SIG = f"""dup AS (SELECT tw, min(id) AS id FROM feat WHERE len(tw) > 0 GROUP BY 1),
 tp AS (SELECT a.id AS a, b.id AS b FROM dup a JOIN dup b ON a.id < b.id WHERE {sq.jaccard('a.tw', 'b.tw')} >= 0.55),
-dots AS (SELECT a, b, least(sum(x.weight * y.weight), 1.0) AS cosine FROM tp JOIN vec x ON x.id = a JOIN vec y ON y.id = b AND y.term = x.term GROUP BY 1, 2),
+dots AS (SELECT a, b, least(sum(x.weight * y.weight), 1.0) AS cosine FROM tp JOIN ivec x ON x.id = a JOIN ivec y ON y.id = b AND y.term = x.term GROUP BY 1, 2),
 sig AS (SELECT a, b, coalesce(cosine, 0.0) AS cosine, {_overlap('p.ents', 'q.ents')} AS entity_sim, {sq.jaccard('p.kw', 'q.kw')} AS keyword_sim,
   abs(trunc(date_diff('second', p.published_at, q.published_at) / 3600.0)) AS h FROM tp LEFT JOIN dots USING (a, b) JOIN feat p ON p.id = a JOIN feat q ON q.id = b)"""
 
 
-@query("combined_similarity", f"""WITH {ART}, {_VEC}, {_FEAT}, {_SIG}
+@query("combined_similarity", f"""WITH {ART}, {_VEC}, {_IDF}, {_FEAT}, {_SIG}
 SELECT a, b, round(cosine, 6) AS cosine, round(entity_sim, 6) AS entity_sim, round(keyword_sim, 6) AS keyword_sim, {_TIME} AS time_sim,
   round(cosine * 0.40 + entity_sim * 0.35 + keyword_sim * 0.15 + {_TIME} * 0.10, 6) AS combined FROM sig""")
 def _(t):
@@ -236,18 +261,18 @@ def _(t):
 
 @query("entity_sets", f"WITH {ART}, {_FEAT} SELECT id, array_to_string(list_sort(ents), ' ') AS entities FROM feat")
 def _(t):
-    return _features(t).select("id", F.array_join(F.array_sort("entities"), " ").alias("entities"))
+    return _signals(t).select("id", F.array_join(F.array_sort("entities"), " ").alias("entities"))
 
 
 @query("similarity_dedup")
 def _(t):
-    led = cp.story_leaders(_features(t), 0.55, 0.95, 0.50)
+    led = cp.story_leaders(_features(t), 0.55, 0.55, 0.50)
     return led.select("id", "leader", (C("id") != C("leader")).alias("is_duplicate"))
 
 
 @query("story_groups")
 def _(t):
-    led = cp.story_leaders(_features(t), 0.28, 0.95, 0.35)
+    led = cp.story_leaders(_features(t), 0.28, 0.28, 0.35)
     members = led.join(thin_articles(t).select("id", "url", "title", "content"), "id")
     rep = cp.representatives(members, "leader", [F.desc(F.length("content")), F.asc("id")])
     return rep.select("leader", C("id").alias("representative"), "cluster_size", "source_count")
@@ -257,13 +282,13 @@ def _(t):
 def _(t):
     feats, _ids = cp.unique_content(_features(t), "title_words")
     feats = cut_lineage(feats)
-    df = cp.subject_pairs(feats, 0.45, 0.95)
+    df = cp.subject_pairs(feats, 0.45, 0.55)
     return df.select("a", "b", F.round("title_sim", 6).alias("title_sim"), F.round("cosine", 6).alias("cosine"))
 
 
 @query("subject_groups")
 def _(t):
-    led = cp.subject_leaders(_features(t), 0.45, 0.95)
+    led = cp.subject_leaders(_features(t), 0.45, 0.55)
     members = led.join(thin_articles(t).select("id", "url", "title"), "id")
     rep = cp.representatives(members, "leader", [F.desc(cp.source_priority(C("url"))), F.asc("id")])
     return rep.select("leader", C("id").alias("representative"), "title", "cluster_size", "source_count")
@@ -272,7 +297,7 @@ def _(t):
 @query("subject_groups_with_embeddings")
 def _(t):
     dense = t.embeddings.select(C("vec_id").alias("id"), "embedding")
-    led = cp.subject_leaders(_features(t), 0.45, 0.95, dense, 0.45)
+    led = cp.subject_leaders(_features(t), 0.45, 0.55, dense, 0.45)
     return led.groupBy("leader").agg(F.count("*").alias("cluster_size"))
 
 
@@ -504,25 +529,22 @@ _BASE = f"""0.5::DOUBLE + coalesce(CASE WHEN h < 1 THEN 0.2 WHEN h < 6 THEN 0.15
 @query("personal_feed", f"""WITH {EV}, {ART}, {_FEAT}, i AS (SELECT user_id, art.category AS topic, count(*) / 100.0::DOUBLE AS weight FROM evn JOIN art ON CAST(article_id AS BIGINT) = art.id
   WHERE evn.event_type = 'view' AND user_id IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT user_id, CAST(article_id AS BIGINT) AS id, count(*) AS n FROM evn WHERE event_type = 'click' AND user_id IS NOT NULL GROUP BY 1, 2),
-tp AS (SELECT id, unnest(ents) AS topic, 0.15 AS f FROM feat UNION ALL SELECT id, category, 0.1 FROM art),
-g AS (SELECT user_id, id, sum(weight * f) AS gain FROM i JOIN tp USING (topic) GROUP BY 1, 2),
-j AS (SELECT coalesce(g.user_id, x.user_id) AS user_id, coalesce(g.id, x.id) AS id, gain, n FROM g FULL JOIN x ON g.user_id = x.user_id AND g.id = x.id),
-b AS (SELECT id, {_BASE} AS base FROM (SELECT *, trunc(date_diff('second', published_at, {NOW}) / 3600.0) AS h FROM art)),
-s AS (SELECT user_id, id, round(least(greatest(base + coalesce(gain, 0) + least(coalesce(n, 0) * 0.02, 0.2), 0), 1), 6) AS score FROM j JOIN b USING (id))
-SELECT user_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 10""")
+g AS (SELECT user_id, id, sum(weight * 0.15) AS gain FROM i JOIN (SELECT id, unnest(ents) AS topic FROM feat) USING (topic) GROUP BY 1, 2),
+b AS (SELECT id, category, {_BASE} AS base FROM (SELECT *, trunc(date_diff('second', published_at, {NOW}) / 3600.0) AS h FROM art)),
+us AS (SELECT DISTINCT user_id FROM evn WHERE user_id IS NOT NULL),
+s AS (SELECT us.user_id, b.id, round(base + coalesce(gain, 0) + coalesce(weight, 0) * 0.1 + least(coalesce(n, 0) * 0.02, 0.2), 9) AS raw FROM us CROSS JOIN b
+  LEFT JOIN g ON g.user_id = us.user_id AND g.id = b.id LEFT JOIN x ON x.user_id = us.user_id AND x.id = b.id
+  LEFT JOIN i ON i.user_id = us.user_id AND i.topic = b.category)
+SELECT user_id, id, least(greatest(raw, 0), 1) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, id) AS r FROM s) WHERE r <= 10""")
 def _(t):
-    from tidewire.plans.views import reader_events
-    from tidewire.functions import dates
-
     ev = reader_events(t).filter((C("created_at") <= dates.now(AS_OF)) & C("user_id").isNotNull()).select(
         "user_id", "event_type", C("article_id").cast("bigint").alias("id"))
-    art = _features(t).join(thin_articles(t).select("id", "source_name"), "id").withColumn("ai_summary", F.lit(""))
+    art = _signals(t).join(thin_articles(t).select("id", "source_name"), "id").withColumn("ai_summary", F.lit(""))
+    art = cut_lineage(art.select("id", "category", "entities", "published_at", "source_name", "ai_summary"))
     interests = ev.filter("event_type = 'view'").join(thin_articles(t).select("id", "category"), "id").groupBy(
         "user_id", C("category").alias("topic")).agg((F.count("*") / 100.0).alias("weight"))
     clicks = ev.filter("event_type = 'click'").groupBy("user_id", "id").agg(F.count("*").alias("n"))
-    scored = cp.personal_scores(art, interests, clicks, ev.select("user_id").distinct(), AS_OF, ("src1", "src2"))
-    scored = scored.withColumn("score", F.round("score", 6))
-    return top_per_key(scored, ["user_id"], [F.desc("score"), F.asc("id")], 10)
+    return cp.personal_feed(art, interests, clicks, ev.select("user_id").distinct(), AS_OF, 10, ("src1", "src2"))
 
 
 @query("popular_feed", f"""WITH {EV}, {ART}, c AS (SELECT article_id, count(*) AS n FROM {sql_bridge('click')} GROUP BY 1)
