@@ -57,8 +57,10 @@ def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: s
 
     Rows of a group are dealt over slices by the hash of ``order``; a table with one row per group and slice gives
     the first number of each slice, and a window numbers the rows inside a slice. Rows equal in ``groups`` and
-    ``order`` share a slice and may swap numbers among themselves.
+    ``order`` share a slice and may swap numbers among themselves. The rows are written once, so that all passes
+    over them agree and no earlier work is repeated.
     """
+    df = cut_lineage(df)
     slices = max(1, -(-df.count() // rows_per_part))
     sliced = df.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
     counts = sliced.groupBy(*groups, "slice").agg(F.count("*").alias("rows"))

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm.fingerprints import op1_fingerprints
+from tidewire.llm.packing import op3_packing
+from tidewire.llm.simhash import op9_simhash_near_dedup
 from tidewire.sources.mart import read_mart
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_fingerprints": lambda spark, folder: op1_fingerprints(read_mart(spark, folder, "documents")),
-}
-
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _over(name: str, operator: Callable[..., DataFrame], *tables: str) -> None:
+    QUERIES[name] = lambda spark, folder: operator(*(read_mart(spark, folder, t) for t in tables))
+
+
+_over("op1_fingerprints", op1_fingerprints, "documents")
+_over("op3_packing", op3_packing, "documents")
+_over("op9_simhash_near_dedup", op9_simhash_near_dedup, "documents")
