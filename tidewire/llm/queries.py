@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from tidewire.llm.fingerprints import op1_fingerprints
 from tidewire.llm.packing import op3_packing
+from tidewire.llm.quality import op10_quality_classifier
 from tidewire.llm.simhash import op9_simhash_near_dedup
 from tidewire.sources.mart import read_mart
 
@@ -15,10 +17,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _over(name: str, operator: Callable[..., DataFrame], *tables: str) -> None:
+def _over(name: str, operator: Callable[..., DataFrame], *tables: str, sql: str | None = None) -> None:
+    if sql:
+        ORACLES[name] = sql
     QUERIES[name] = lambda spark, folder: operator(*(read_mart(spark, folder, t) for t in tables))
 
 
 _over("op1_fingerprints", op1_fingerprints, "documents")
 _over("op3_packing", op3_packing, "documents")
+_over("op8_benchmark_decontamination", op8_benchmark_decontamination, "documents", "benchmark", sql=OP8_SQL)
 _over("op9_simhash_near_dedup", op9_simhash_near_dedup, "documents")
+_over("op10_quality_classifier", op10_quality_classifier, "documents", "labels")
