@@ -74,11 +74,12 @@ def occurrences(docs: DataFrame, shingles: DataFrame, widths: list[int], window:
         # the leading null stands for the document itself
         lead = F.array(F.lit(None).cast("bigint")) if n == 0 else F.array().cast("array<bigint>")
         arrays = texts.withColumn("hashes", F.concat(lead, hashes(width)))
-        rows = arrays.select("doc_id", *KEY, "words", F.posexplode("hashes").alias("at", "hash"))
+        # outer: an inner generator would make the optimizer test the array's size on the text, word by word
+        rows = arrays.select("doc_id", *KEY, "words", F.posexplode_outer("hashes").alias("at", "hash"))
         rows = rows.withColumn("at", F.col("at") - (1 if n == 0 else 0))
         here = known.filter(F.col("width") == width).select(F.col("hash").alias("known"))
         met = rows.join(_small(here), F.col("hash") == F.col("known"), "left")
-        met = met.filter(F.col("known").isNotNull() | F.col("hash").isNull())
+        met = met.filter(F.col("known").isNotNull() | (F.col("hash").isNull() if n == 0 else F.lit(False)))
         first = F.greatest(F.col("at") - (window - 1), F.lit(0))
         part = met.select(
             "doc_id", *KEY, F.lit(width).alias("width"), "hash", "at", F.size("words").cast("long").alias("n_words"),
