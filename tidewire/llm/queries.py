@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewire.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from tidewire.llm.fingerprints import op1_fingerprints
 from tidewire.llm.packing import op3_packing
+from tidewire.llm.pii import op5_pii
 from tidewire.llm.quality import op10_quality_classifier
+from tidewire.llm.sharding import op6_sharding
 from tidewire.llm.simhash import op9_simhash_near_dedup
 from tidewire.sources.mart import read_mart
 
@@ -25,6 +27,8 @@ def _over(name: str, operator: Callable[..., DataFrame], *tables: str, sql: str
 
 _over("op1_fingerprints", op1_fingerprints, "documents")
 _over("op3_packing", op3_packing, "documents")
+_over("op5_pii", op5_pii, "documents")
+_over("op6_sharding", op6_sharding, "documents")
 _over("op8_benchmark_decontamination", op8_benchmark_decontamination, "documents", "benchmark", sql=OP8_SQL)
 _over("op9_simhash_near_dedup", op9_simhash_near_dedup, "documents")
 _over("op10_quality_classifier", op10_quality_classifier, "documents", "labels")
