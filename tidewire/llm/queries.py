@@ -13,6 +13,7 @@ from tidewire.llm.pii import op5_pii
 from tidewire.llm.quality import op10_quality_classifier
 from tidewire.llm.sharding import op6_sharding
 from tidewire.llm.simhash import op9_simhash_near_dedup
+from tidewire.llm.suffixes import op4_suffix_array_dedup
 from tidewire.sources.mart import read_mart
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,7 @@ def _over(name: str, operator: Callable[..., DataFrame], *tables: str, sql: str
 
 _over("op1_fingerprints", op1_fingerprints, "documents")
 _over("op3_packing", op3_packing, "documents")
+_over("op4_suffix_array_dedup", op4_suffix_array_dedup, "documents")
 _over("op5_pii", op5_pii, "documents")
 _over("op6_sharding", op6_sharding, "documents")
 _over("op8_benchmark_decontamination", op8_benchmark_decontamination, "documents", "benchmark", sql=OP8_SQL)
