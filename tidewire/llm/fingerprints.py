@@ -103,7 +103,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, size: int = SHINGLE) -> Dat
     repeated rows count as one document for "next", and each gets the same result. Columns other than doc_id and text
     are ignored. An empty table gives no rows.
     """
-    texts = docs.select("doc_id", *text_key(), whole().alias("text"))
+    texts = docs.select(*text_key(), whole().alias("text"))  # the same columns on both sides, so one shuffle serves both
     pairs = successors(docs)
     prev = pairs.select(*(F.col(c).alias(f"prev_{c}") for c in KEY), F.floor(F.col("n_chars") / 4).cast("int").alias("tail"),
                         *(F.col(f"next_{c}").alias(c) for c in KEY))
@@ -114,7 +114,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, size: int = SHINGLE) -> Dat
     n = F.char_length("text")
     kept = F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int"))
     both = texts.join(heads, list(KEY)).select(
-        "doc_id", n.cast("long").alias("n_chars"), F.concat(kept, F.col("head")).alias("edited"),
+        F.when(F.col("kn"), F.col("kd")).alias("doc_id"), n.cast("long").alias("n_chars"), F.concat(kept, F.col("head")).alias("edited"),
         sketch(F.col("text"), k, size).alias("sketch"), "next_sketch")
     return both.withColumns({"edited_sketch": sketch(F.col("edited"), k, size)})
 
