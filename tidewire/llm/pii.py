@@ -8,7 +8,6 @@ bounded sample of passages that the rules have labelled, and from the same passa
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -334,8 +333,23 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[free:]])
 
 
-def digest(spans: list[Span]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+def masked_documents(docs: DataFrame, model: SegmentField) -> DataFrame:
+    """``docs`` with every span in the text replaced by its kind, and n_chars counted anew; null texts stay null."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, schema = docs.columns.index("text"), docs.schema
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for value in batch.column(at):
+                text = value.as_py()
+                if text is not None and _TRIGGER.search(text):
+                    rules = rule_spans(text)
+                    text = masked(text, rules + added_spans(text, rules, shared.value))
+                out.append(text)
+            yield batch.set_column(at, "text", pa.array(out, pa.string()))
+
+    return docs.mapInArrow(of, schema).withColumn("n_chars", F.char_length(whole()).cast(schema["n_chars"].dataType))
 
 
 def op5_pii(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewire.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
+from tidewire.llm.edits import op7_token_counts
 from tidewire.llm.fingerprints import op1_fingerprints
+from tidewire.llm.licences import OP2_SQL, op2_license_scans
 from tidewire.llm.packing import op3_packing
 from tidewire.llm.pii import op5_pii
 from tidewire.llm.quality import op10_quality_classifier
@@ -27,10 +29,12 @@ def _over(name: str, operator: Callable[..., DataFrame], *tables: str, sql: str
 
 
 _over("op1_fingerprints", op1_fingerprints, "documents")
+_over("op2_license_scans", op2_license_scans, "documents", sql=OP2_SQL)
 _over("op3_packing", op3_packing, "documents")
 _over("op4_suffix_array_dedup", op4_suffix_array_dedup, "documents")
 _over("op5_pii", op5_pii, "documents")
 _over("op6_sharding", op6_sharding, "documents")
+_over("op7_token_counts", op7_token_counts, "documents")
 _over("op8_benchmark_decontamination", op8_benchmark_decontamination, "documents", "benchmark", sql=OP8_SQL)
 _over("op9_simhash_near_dedup", op9_simhash_near_dedup, "documents")
 _over("op10_quality_classifier", op10_quality_classifier, "documents", "labels")

@@ -48,14 +48,15 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, kh, fp): kh is a hash of the text, fp the fingerprint as a signed long."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), size) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "kh", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).mapInArrow(of, "doc_id bigint, fp bigint")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("kh"), whole().alias("text"))
+    return source.mapInArrow(of, "doc_id bigint, kh bigint, fp bigint")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -199,7 +200,7 @@ def near_edges(codes: DataFrame, radius: int = RADIUS, group_limit: int = GROUP_
 
 
 def components(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most ``radius`` bits.
+    """(doc_id, kh, fp, root, component_id): root is a fingerprint that stands for the component, component_id the smallest doc_id reachable over links of at most ``radius`` bits.
 
     Equal fingerprints are folded before anything is compared. Null, empty and blank texts have fingerprint 0 and link
     like any other. Repeated rows each get the same result. A component whose ids are all null has a null id. Extra
@@ -212,10 +213,21 @@ def components(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, group
         joined = connected_components(edges).select(F.col("id").alias("fp"), "component")
         rooted = codes.join(joined, "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("root"))
         least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-        codes = rooted.join(least, "root").select("fp", "component_id")
+        codes = rooted.join(least, "root").select("fp", "root", "component_id")
     else:
-        codes = codes.withColumnRenamed("first_doc", "component_id")
-    return marked.join(codes, "fp").select("doc_id", "fp", "component_id")
+        codes = codes.select("fp", F.col("fp").alias("root"), F.col("first_doc").alias("component_id"))
+    return marked.join(codes, "fp").select("doc_id", "kh", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Whole rows of ``docs``, one per component: that of the smallest doc_id (then hash of the text; null ids last)."""
+    found = components(docs, radius)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "kh")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.kh").alias("first_kh"))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64(whole()) == F.col("first_kh"))
+    kept = docs.join(first, same, "left_semi")
+    all_once = found.groupBy("doc_id", "kh").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return kept if all_once else kept.dropDuplicates(["doc_id", "text"])
 
 
 def op9_simhash_near_dedup(docs: DataFrame) -> DataFrame:
