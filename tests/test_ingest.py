@@ -34,7 +34,9 @@ def test_event_rules(spark):
         ("article_read", None, 0, '{"a": 1}', "EG"), ("like", None, 86_400_000, None, "EG")]
     assert one[0].created_at == datetime(2024, 1, 30, 10, 0) and one[1].created_at == NOON
     assert [(r.event_type, r.user_id, r.country_code) for r in got if r.session_id == "s2"] == [("search", "u", "FR")]
-    assert sum(r.session_id == "s3" for r in got) == 200
+    assert sum(r.session_id == "s3" for r in got) == 250
+    limited = ingest.clean_events(posts(spark, rows), "arrived", max_events=200)
+    assert limited.filter("session_id = 's3'").count() == 200
 
 
 def test_session_state(spark):

@@ -332,15 +332,21 @@ def split_evenly(df: DataFrame, key: Column, chunks: int) -> DataFrame:
     return df.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
 
 
-def dbscan(pairs: DataFrame, points: DataFrame, min_points: int = 2) -> DataFrame:
+def dbscan(pairs: DataFrame, points: DataFrame, min_points: int = 2, members: DataFrame | None = None) -> DataFrame:
     """(id, cluster, core) from the pairs within eps. A point counts itself; noise has cluster -1.
 
     Core points are linked into components; a border point joins the cluster of
-    its lowest-numbered neighbouring core point.
+    its lowest-numbered neighbouring core point. ``members`` (id, first) says
+    which points were folded into one before pairs were made: every copy counts
+    towards the degree of its own group and of the neighbours, and has the label
+    of its group.
     """
+    folded = members if members is not None else points.select("id", F.col("id").alias("first"))
+    groups = folded.groupBy("first").agg(F.count("*").alias("copies")).withColumnRenamed("first", "id")
     ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")),
                                          F.struct(F.col("b").alias("id"), F.col("a").alias("other")))))
-    degree = ends.groupBy("id").agg((F.count("*") + 1).alias("n"))
+    around = ends.join(groups.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum("copies").alias("around"))
+    degree = groups.join(around, "id", "left").select("id", (F.col("copies") + F.coalesce("around", F.lit(0))).alias("n"))
     core = cut_lineage(degree.filter(F.col("n") >= min_points).select("id"))
     inner = ends.join(core, "id", "left_semi").join(core.select(F.col("id").alias("other")), "other", "left_semi")
     comp = graph.connected_components(inner.filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")))
@@ -348,7 +354,8 @@ def dbscan(pairs: DataFrame, points: DataFrame, min_points: int = 2) -> DataFram
     border = ends.join(core, "id", "left_anti").join(labelled.select(F.col("id").alias("other"), "cluster"), "other")
     border = border.groupBy("id").agg(F.min_by("cluster", "other").alias("cluster"))
     all_labels = labelled.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
-    return points.select("id").join(all_labels, "id", "left").select(
+    every = folded.join(all_labels.withColumnRenamed("id", "first"), "first").select("id", "cluster", "core")
+    return points.select("id").join(every, "id", "left").select(
         "id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
@@ -388,7 +395,9 @@ def tfidf_matrix(df: DataFrame, id_col: str, tokens: str, vocabulary: int = 200,
     from pyspark.ml.feature import IDF, CountVectorizer, VectorAssembler
     from pyspark.ml.functions import array_to_vector
 
-    df = df.withColumn("__dense", array_to_vector(F.slice(F.col(dense).cast("array<double>"), 1, dense_dims))) if dense else df
+    if dense:  # a row without a dense vector has zeros there
+        zeros = F.array_repeat(F.lit(0.0), dense_dims)
+        df = df.withColumn("__dense", array_to_vector(F.slice(F.concat(F.coalesce(F.col(dense).cast("array<double>"), zeros), zeros), 1, dense_dims)))
     stages = [CountVectorizer(vocabSize=vocabulary, inputCol=tokens, outputCol="__tf"), IDF(inputCol="__tf", outputCol="__tfidf")]
     stages.append(VectorAssembler(inputCols=["__tfidf"] + (["__dense"] if dense else []), outputCol="features"))
     return Pipeline(stages=stages).fit(df).transform(df).select(F.col(id_col).alias("id"), "features")

@@ -371,7 +371,7 @@ def merge_by_priority(key: str, *frames: DataFrame, order: Sequence[Column] = ()
 # --- crawl planning ---------------------------------------------------------------
 
 # Queue bounds.
-MAX_QUEUE, MAX_ATTEMPTS = 5000, 3
+MAX_ATTEMPTS = 3
 
 
 def candidate_order() -> list[Column]:
@@ -387,7 +387,7 @@ def next_candidates(candidates: DataFrame, as_of: datetime, n: int) -> DataFrame
         (F.col("status") == "pending") & (F.col("retry_after").isNull() | (F.col("retry_after") <= at))
         & (F.col("attempts") < MAX_ATTEMPTS)
     )
-    return df.filter(ready).orderBy(*candidate_order()).limit(min(n, MAX_QUEUE))
+    return df.filter(ready).orderBy(*candidate_order()).limit(n)
 
 
 def per_source_candidates(candidates: DataFrame, source: str, cap: int) -> DataFrame:

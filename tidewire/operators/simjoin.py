@@ -195,6 +195,18 @@ def pair_dots(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 PIVOTS = 32
 
 
+def dense_members(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, first) of every row with a vector of positive length: ``first`` is the lowest id with the same unit vector.
+
+    The pairs of ``dense_cosine_pairs`` are between such first ids; this frame takes them back to the rows.
+    """
+    norm = F.sqrt(bags.dot(F.col(vector), F.col(vector)))
+    unit = F.transform(F.col(vector), lambda x: x.cast("double") / norm)
+    rows = df.filter(norm > 0).select(F.col(id_col).alias("id"), F.xxhash64(unit).alias("h"), unit.alias("u"))
+    firsts = rows.groupBy("h", "u").agg(F.min("id").alias("first"))
+    return rows.join(firsts, ["h", "u"]).select("id", "first")
+
+
 def dense_cosine_pairs(df: DataFrame, id_col: str, vector: str, t: float, pivots: int = PIVOTS) -> DataFrame:
     """Pairs of distinct vectors with cosine >= t: (id_a, id_b, copies_a, copies_b, cosine).
 

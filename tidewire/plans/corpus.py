@@ -341,17 +341,21 @@ def _eps_pairs(t):
     return simjoin.dense_cosine_pairs(t.embeddings, "vec_id", "embedding", cos).select(C("id_a").alias("a"), C("id_b").alias("b"))
 
 
+def _eps_members(t):
+    return simjoin.dense_members(t.embeddings, "vec_id", "embedding")
+
+
 @query("density_core_points", f"""WITH {_UNIT}, p AS (SELECT a.vec_id AS a FROM e a JOIN e b ON a.vec_id <> b.vec_id
   WHERE list_dot_product(a.u, b.u) >= {1 - EPS * EPS / 2}) SELECT a AS id FROM p GROUP BY a HAVING count(*) + 1 >= 2""")
 def _(t):
     points = t.embeddings.select(C("vec_id").alias("id"))
-    return cp.dbscan(_eps_pairs(t), points, 2).filter("core").select("id")
+    return cp.dbscan(_eps_pairs(t), points, 2, _eps_members(t)).filter("core").select("id")
 
 
 @query("density_clusters")
 def _(t):
     points = t.embeddings.select(C("vec_id").alias("id"))
-    return cp.dbscan(_eps_pairs(t), points, 3)
+    return cp.dbscan(_eps_pairs(t), points, 3, _eps_members(t))
 
 
 @query("kmeans_clusters")
@@ -379,7 +383,7 @@ def _(t):
     from pyspark.ml.functions import vector_to_array
 
     docs = articles(t).select("id", tx.tokens(C("content")).alias("tokens")).join(
-        t.embeddings.select(C("vec_id").alias("id"), "embedding"), "id")
+        t.embeddings.select(C("vec_id").alias("id"), "embedding"), "id", "left")
     arr = vector_to_array("features")
     return cp.tfidf_matrix(docs, "id", "tokens", 200, "embedding").select("id", F.size(arr).alias("dims"), F.round(F.aggregate(
         arr, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))

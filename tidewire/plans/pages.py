@@ -124,7 +124,7 @@ def _(t):
     docs = widen(t.documents)
     title = F.trim(F.regexp_extract("text", r"^[^.!?\n]*", 0))
     image = F.concat(F.lit("https://cdn.example.com/media/"), F.regexp_replace(F.lower(F.substring(title, 1, 40)), " ", "_"), F.lit(".jpg"))
-    return docs.select("doc_id", pg.image_relevance(title, F.substring("text", 1, 200), image).alias("r")).select("doc_id", "r.score", "r.relevant")
+    return docs.select("doc_id", pg.image_relevance(title, C("text"), image).alias("r")).select("doc_id", "r.score", "r.relevant")
 
 
 @query("valid_images", f"""WITH i AS (SELECT page_id, 'https://cdn.example.com/' || CASE page_id % 5 WHEN 0 THEN 'logo' WHEN 1 THEN 'ads' WHEN 2 THEN 'media' ELSE 'story' END || '/' || page_id ||
