@@ -14,6 +14,7 @@ from tidewire.llm.common import KEY, text_key, whole
 from tidewire.llm.decontamination import words
 
 THRESHOLD = 0.8
+BLOCK = 1024  # words scanned at once; no result depends on it
 
 # Names and customary notices of common licences.
 NOTICES = (
@@ -52,27 +53,51 @@ def entries(templates: DataFrame) -> DataFrame:
                          "place", F.size("w").alias("length"), bigrams(F.col("w")).alias("wanted"))
 
 
-def licence_regions(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def blocks(docs: DataFrame, reach: int, block: int = BLOCK) -> DataFrame:
+    """(doc_id, kn, kd, kh, at, base, w): each text cut into ``block`` words, with ``reach`` words of context on both sides.
+
+    The block begins at word ``at`` and ``w`` at word ``base``. A text without words is one empty block.
+    """
+    texts = docs.select("doc_id", *text_key(), words(whole()).alias("w"))
+    begins = F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(block))
+    cut = F.transform(begins, lambda at: F.struct(
+        at.alias("at"), F.greatest(at - reach, F.lit(0)).alias("base"),
+        F.slice("w", F.greatest(at - reach, F.lit(0)) + 1, F.lit(block + 2 * reach)).alias("w")))
+    # outer: an inner generator would make the optimizer test the array's size on the text first
+    return texts.select("doc_id", *KEY, F.explode_outer(cut).alias("b")).select("doc_id", *KEY, "b.*")
+
+
+def licence_regions(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, kn, kd, kh, licence, start, dice): stretches that reach ``threshold``, and one row without licence per document.
 
     ``start`` counts words. Null and empty texts and texts of one word hold no licence. Repeated rows each get the same
-    result; a licence named twice in ``templates`` is found by either notice. Extra columns are ignored.
+    result; a licence named twice in ``templates`` is found by either notice, a notice without licence is left out. Extra
+    columns are ignored. Texts are scanned in blocks, so that the matches held at once are bounded.
     """
-    texts = docs.select("doc_id", *text_key(), words(whole()).alias("w"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.col("w")[i], F.col("w")[i + 1]))
-    none = F.array(F.lit(None).cast("string"))  # stands for the document
-    spread = texts.withColumn("pairs", F.when(F.size("w") >= 2, F.concat(none, pairs)).otherwise(none))
-    spread = spread.select("doc_id", *KEY, "w", F.posexplode_outer("pairs").alias("at", "pair"))
-    known = F.broadcast(entries(templates).withColumnRenamed("pair", "known"))  # one row per word of a fixed list
-    met = spread.join(known, F.col("pair") == F.col("known"), "left").filter(F.col("known").isNotNull() | F.col("pair").isNull())
-    start = F.col("at") - 1 - F.col("place")
-    met = met.filter(F.col("pair").isNull() | (start >= 0))
-    met = met.withColumns({"start": start, "found": F.slice("w", F.greatest(start, F.lit(0)) + 1, F.greatest(F.col("length"), F.lit(0)))})
+    known = entries(templates.filter(F.col("licence").isNotNull())).withColumnRenamed("pair", "known")
+    reach = known.agg(F.max("length")).first()[0] or 0
+    texts = blocks(docs, reach, block)
+    first = F.col("at") - F.col("base")
+    last = F.least(first + block - 1, F.size("w") - 2)
+    pairs = F.transform(F.sequence(first, last), lambda i: F.concat_ws(" ", F.col("w")[i], F.col("w")[i + 1]))
+    pairs = F.when(last >= first, pairs).otherwise(F.array().cast("array<string>"))
+    lead = F.when(F.col("at") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))  # for the document
+    spread = texts.withColumn("pairs", F.concat(lead, pairs))
+    spread = spread.select("doc_id", *KEY, "base", "w", "at", F.posexplode_outer("pairs").alias("nth", "pair"))
+    # a block after the first may hold no pair: its one row is dropped here and not taken for the document
+    met = spread.join(F.broadcast(known), F.col("pair") == F.col("known"), "left")  # one row per word of a fixed list
+    start = F.col("at") + F.col("nth") - F.when(F.col("at") == 0, 1).otherwise(0) - F.col("place")
+    length = F.least(F.col("length"), F.size("w") + F.col("base") - start)
     low = F.size("wanted") * (threshold / (2 - threshold))  # a smaller stretch cannot reach the threshold
-    met = met.filter(F.col("pair").isNull() | (F.size("found") - 1 >= low)).withColumn("got", bigrams(F.col("found")))
+    document = F.col("pair").isNull() & (F.col("at") == 0)
+    met = met.filter(document | (F.col("known").isNotNull() & (start >= 0) & (length - 1 >= low)))
+    # Behind a generator the comparison is not merged into the filter above, which would copy the block for every match.
+    match = F.struct("licence", start.alias("start"), "wanted", F.slice("w", start - F.col("base") + 1, length).alias("found"))
+    met = met.select("doc_id", *KEY, F.explode_outer(F.array(F.when(F.col("pair").isNotNull(), match))).alias("m"))
+    met = met.select("doc_id", *KEY, "m.*").withColumn("got", bigrams(F.col("found")))
     shared = F.size(F.array_intersect("got", "wanted"))
     dice = (2 * shared).cast("double") / (F.size("got") + F.size("wanted"))
-    met = met.select("doc_id", *KEY, F.when(F.col("pair").isNotNull(), F.col("licence")).alias("licence"), "start", dice.alias("dice"))
+    met = met.select("doc_id", *KEY, "licence", "start", dice.alias("dice"))
     return met.filter(F.col("licence").isNull() | (F.col("dice") >= threshold))
 
 
