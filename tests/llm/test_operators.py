@@ -12,7 +12,7 @@ import corpus_pipeline
 from tidewire.llm import edits, pii, sharding, simhash, suffixes, tokens
 from tidewire.llm import fingerprints as fp
 from tidewire.llm.decontamination import op8_benchmark_decontamination
-from tidewire.llm.licences import op2_license_scans
+from tidewire.llm.licences import licence_regions, notices, op2_license_scans
 from tidewire.llm.packing import binary_lengths, op3_packing, pieces
 from tidewire.llm.queries import QUERIES
 from tidewire.llm.quality import op10_quality_classifier
@@ -73,6 +73,21 @@ def test_awkward_rows_and_empty_tables(request, odd, operator, more):
     assert operator(odd, *(o.limit(0) for o in others)).count() == len(ROWS)
 
 
+def test_licence_stretches_do_not_depend_on_the_block(spark):
+    said = "Released under the MIT License. "
+    rows = [(i, "word " * i + said + "word " * (29 - i)) for i in range(30)] + [(30, said * 200), (31, "released under"), (32, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def found(block):
+        got = licence_regions(docs, notices(spark), block=block).filter("licence is not null")
+        return sorted((r.doc_id, r.licence, r.start, r.dice) for r in got.distinct().collect())
+
+    one = found(1 << 20)
+    assert {(i, "MIT", i, 1.0) for i in range(30)} <= set(one)
+    assert sum(r[0] == 30 and r[1] == "MIT" and r[3] == 1.0 for r in one) == 200
+    assert found(1) == found(7) == found(16) == one
+
+
 def test_fingerprints(spark, texts):
     ids = list(texts)
     got = {r.doc_id: r for r in QUERIES["op1_fingerprints"](spark, SF).collect()}
