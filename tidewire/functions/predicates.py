@@ -169,7 +169,7 @@ _LABEL_START = r"^(" + "|".join(sorted(lx.NON_NEWS_TITLES, key=len, reverse=True
 def section_title(title: Column) -> Column:
     """A section label, or a section word followed by a short rest."""
     word = F.regexp_extract(title, _SECTION_START, 1)
-    rest = F.length(F.trim(F.substring(title, F.length(word) + 1, F.lit(10000))))
+    rest = F.length(F.trim(F.substring(title, F.length(word) + 1, F.length(title))))
     return ((word != "") & (rest <= 30)) | only_section_words(title, lx.SECTION_WORDS, 6, r"[\s&]+")
 
 

@@ -53,6 +53,11 @@ def normalize_for_search(text: Column) -> Column:
     return drop_stop_words(normalize(text))
 
 
+def _from(word: Column, at: int) -> Column:
+    """The word from its ``at``-th letter on."""
+    return F.substring(word, F.lit(at), F.length(word))
+
+
 def light_stem(word: Column) -> Column:
     """Drop one leading particle where the next letters show that it is one."""
     first, second, third = (F.substring(word, i, 1) for i in (1, 2, 3))
@@ -60,14 +65,14 @@ def light_stem(word: Column) -> Column:
     alef = second.isin("أ", "إ", "ا")
     return (
         F.when(n <= 2, word)
-        .when(first.isin("ب", "ك", "و") & (second == "ا") & (third == "ل") & (n >= 4), F.substring(word, 4, 10000))
-        .when(first.isin("ب", "ك", "و", "ل") & alef, F.substring(word, 2, 10000))
-        .when((first == "س") & (second == "ت"), F.substring(word, 3, 10000))
-        .when((first == "س") & second.isin("أ", "إ", "ي"), F.substring(word, 2, 10000))
-        .when((first == "أ") & (second == "أ"), F.substring(word, 2, 10000))
-        .when((first == "ل") & (second == "ل") & third.isin("أ", "ا", "إ"), F.substring(word, 3, 10000))
-        .when((first == "ل") & (second == "ل"), F.substring(word, 2, 10000))
-        .when(first == "آ", F.concat(F.lit("أ"), F.substring(word, 2, 10000)))
+        .when(first.isin("ب", "ك", "و") & (second == "ا") & (third == "ل") & (n >= 4), _from(word, 4))
+        .when(first.isin("ب", "ك", "و", "ل") & alef, _from(word, 2))
+        .when((first == "س") & (second == "ت"), _from(word, 3))
+        .when((first == "س") & second.isin("أ", "إ", "ي"), _from(word, 2))
+        .when((first == "أ") & (second == "أ"), _from(word, 2))
+        .when((first == "ل") & (second == "ل") & third.isin("أ", "ا", "إ"), _from(word, 3))
+        .when((first == "ل") & (second == "ل"), _from(word, 2))
+        .when(first == "آ", F.concat(F.lit("أ"), _from(word, 2)))
         .otherwise(word)
     )
 
@@ -83,7 +88,7 @@ def affix_stem(word: Column) -> Column:
     def strip_prefix(w: Column) -> Column:
         out = F.when(F.length(w) < 4, w)
         for p in PREFIXES:
-            out = out.when(w.startswith(p) & (F.length(w) >= len(p) + 3), F.substring(w, len(p) + 1, 10000))
+            out = out.when(w.startswith(p) & (F.length(w) >= len(p) + 3), _from(w, len(p) + 1))
         return out.otherwise(w)
 
     def strip_suffix(w: Column) -> Column:

@@ -48,8 +48,22 @@ def reject_repeats(df: DataFrame, title_fp: str, content_fp: str, url_fp: str, o
 # --- near duplicates --------------------------------------------------------------------
 
 
-def near_duplicates(df: DataFrame, id_col: str, tokens: str, t: float, order: Column | None = None, pairs: bool = False):
-    """(id, kept_id, is_duplicate, similarity): rows join the first kept row they resemble."""
+def near_duplicates(
+    df: DataFrame, id_col: str, tokens: str, t: float, order: Column | None = None, pairs: bool = False, url: str | None = None
+):
+    """(id, kept_id, is_duplicate, similarity): rows join the first kept row they resemble.
+
+    With ``url``, rows of one URL count as one: the lowest id is compared, the others join what it joins and have no
+    similarity. Rows without URL are compared each.
+    """
+    if url is not None:
+        firsts = df.filter(F.col(url).isNotNull()).groupBy(url).agg(F.min(id_col).alias("first_id"))
+        df = df.join(firsts, url, "left").withColumn("first_id", F.coalesce("first_id", id_col))
+        led = near_duplicates(df.filter(F.col(id_col) == F.col("first_id")).drop("first_id"), id_col, tokens, t, order, pairs)
+        repeats = df.filter(F.col(id_col) != F.col("first_id")).select(F.col(id_col).alias("repeat_id"), "first_id")
+        repeats = repeats.join(led, F.col("first_id") == F.col("id")).select(
+            F.col("repeat_id").alias("id"), "kept_id", F.lit(True).alias("is_duplicate"), F.lit(None).cast("double").alias("similarity"))
+        return led.unionByName(repeats)
     led = graph.set_leaders(df, id_col, tokens, t, order, pairs)
     return led.select("id", F.col("leader").alias("kept_id"), (F.col("id") != F.col("leader")).alias("is_duplicate"), "similarity")
 
@@ -493,12 +507,17 @@ CONTEXT_CUES = lx.phrases("سياق|خلفية|جدير بالذكر|يشار إ
 SECTION_SIZES = {"details": 6, "quotes": 4, "context": 5}
 
 
-def sections(members: DataFrame, cluster: str, order: Column, t: float = 0.45, relevance: float = 0.15) -> DataFrame:
-    """(cluster, section, body): sentences of a cluster sorted into details, quotes and context."""
+def sections(
+    members: DataFrame, cluster: str, order: Column, t: float = 0.45, relevance: float = 0.15, head: int | None = None
+) -> DataFrame:
+    """(cluster, section, body): sentences of a cluster sorted into details, quotes and context.
+
+    Sentences are compared whole, or by their first ``head`` words.
+    """
     df = cluster_sentences(members, cluster, order, F.col("content"), 8, 50)
     df = df.withColumn("key", F.lower(tx.squeeze(F.col("sentence"))))
     df = df.groupBy(cluster, "key").agg(F.min("at").alias("at"), F.min_by("sentence", "at").alias("sentence"))
-    words = F.array_distinct(blend_tokens(F.col("sentence"), 8))
+    words = F.array_distinct(blend_tokens(F.col("sentence"), head))
     df = df.withColumn("words", words).filter(F.size("words") > 0)
     df = cut_lineage(df.withColumn("sid", F.struct(F.col(cluster).alias("c"), F.col("at"))))
     # words carry their cluster, so only sentences of one cluster can resemble each other

@@ -412,11 +412,17 @@ CONTAINERS = (
 )
 
 
-def relevant_paragraphs(df: DataFrame, id_col: str, paragraphs: Column, query: Column, t: float = 0.07, most: int = 28, fallback: int = 5):
-    """Paragraphs close to the title and description, in page order; the best few when none is close enough."""
+def relevant_paragraphs(df: DataFrame, id_col: str, paragraphs: Column, query: Column, t: float = 0.07, most: int = 28, fallback: int = 5,
+                        longest: int | None = None):
+    """Paragraphs close to the title and description, in page order; the best few when none is close enough.
+
+    Paragraphs over ``longest`` characters are left out if it is given.
+    """
     q = F.lower(query)
     base = df.select(id_col, F.posexplode(paragraphs).alias("pos", "paragraph"), tx.char_ngrams(q).alias("qc"), tx.word_bigrams(q).alias("qw"))
-    base = base.filter(~pr.noisy_paragraph(F.col("paragraph")) & F.length("paragraph").between(45, 3200))
+    base = base.filter(~pr.noisy_paragraph(F.col("paragraph")) & (F.length("paragraph") >= 45))
+    if longest is not None:
+        base = base.filter(F.length("paragraph") <= longest)
     low = F.lower("paragraph")
     score = tx.jaccard(F.col("qc"), tx.char_ngrams(low)) * 0.35 + tx.jaccard(F.col("qw"), tx.word_bigrams(low)) * 0.65
     scored = base.select(id_col, "pos", "paragraph", F.round(score, 9).alias("score"))

@@ -87,9 +87,8 @@ def _(t):
 
 @query("near_duplicate_texts")
 def _(t):
-    df = cp.first_per_key(articles(t).select("id", "url", "content"), ["url"], [F.asc("id")])
-    df = df.select("id", tx.word_set(C("content")).alias("w"))
-    return _rounded(cp.near_duplicates(df, "id", "w", 0.85))
+    df = articles(t).select("id", "url", tx.word_set(C("content")).alias("w"))
+    return _rounded(cp.near_duplicates(df, "id", "w", 0.85, url="url"))
 
 
 def _quality(t):
@@ -100,8 +99,8 @@ def _quality(t):
 
 @query("near_duplicate_titles")
 def _(t):
-    df = cp.first_per_key(_quality(t), ["url"], [F.asc("id")])
-    led = cp.near_duplicates(df, "id", "w", 0.55, F.struct((-C("q")).alias("q"), C("id").alias("i")), pairs=True)
+    order = F.struct((-C("q")).alias("q"), C("id").alias("i"))
+    led = cp.near_duplicates(_quality(t), "id", "w", 0.55, order, pairs=True, url="url")
     return _rounded(led)
 
 
@@ -131,7 +130,7 @@ def _(t):
 def _(t):
     return articles(t).select("id", F.size(tx.sentences(C("content"))).alias("n"),
                               F.size(cp.distinct_sentences(C("content"))).alias("n_exact"),
-                              F.size(cp.distinct_sentences(C("summary"), 0.45, 8)).alias("n_summary"))
+                              F.size(cp.distinct_sentences(C("summary"), 0.45)).alias("n_summary"))
 
 
 @query("fact_check_annotation", f"""WITH {ART}, a AS (SELECT id, list_sort(list_distinct({sq.tokens('title', 4)})) AS w FROM art),
