@@ -457,15 +457,22 @@ def best_titles(members: DataFrame, cluster: str, order: Column) -> DataFrame:
 
 
 def leads(members: DataFrame, cluster: str, order: Column) -> DataFrame:
-    """Best summary of each cluster and the first other summary that brings new numbers."""
-    clean = tx.clean_sentence(F.col("summary"))
-    df = members.select(cluster, order.alias("o"), clean.alias("text")).filter(F.col("text") != "")
+    """Best summary of each cluster and the first other summary that brings new numbers.
+
+    A cluster without summaries is led by the first sentences of its contents, one without contents by its first title.
+    """
+    first_sentence = F.try_element_at(tx.sentences(F.coalesce("content", F.lit(""))), F.lit(1))
+    sources = [F.struct(F.lit(level).alias("level"), text.alias("text")) for level, text in enumerate((
+        tx.clean_sentence(F.col("summary")), tx.clean_sentence(first_sentence), tx.clean_title(F.col("title"))))]
+    df = members.select(cluster, order.alias("o"), F.inline(F.array(*sources))).filter(F.col("text") != "")
     n = F.size(F.split("text", " "))
-    df = df.withColumn("rank", F.struct((-F.when(n.between(15, 45), n * 2).otherwise(n)).alias("s"), F.col("o")))
+    score = F.when(F.col("level") == 2, 0).when(n.between(15, 45), n * 2).otherwise(n)
+    df = df.withColumn("rank", F.struct("level", (-score).alias("s"), F.col("o")))
     main = df.groupBy(cluster).agg(F.min_by("text", "rank").alias("lead"), F.min("rank").alias("lead_rank"))
     numbers = F.regexp_extract_all("text", F.lit(r"\b\d+\b"), F.lit(0))
     extra = df.join(main, cluster).filter(
-        (F.col("rank") > F.col("lead_rank")) & ~F.col("lead").contains(F.substring("text", 1, 20))
+        (F.col("rank") > F.col("lead_rank")) & (F.col("level") == F.col("lead_rank.level")) & (F.col("level") < 2)
+        & ~F.col("lead").contains(F.substring("text", 1, 20))
         & (F.size(F.array_except(numbers, F.regexp_extract_all("lead", F.lit(r"\b\d+\b"), F.lit(0)))) > 0))
     extra = extra.groupBy(cluster).agg(F.min_by("text", "rank").alias("addition"))
     return main.select(cluster, "lead").join(extra, cluster, "left")
