@@ -148,7 +148,7 @@ def idf_weighted(vectors: DataFrame) -> DataFrame:
 def entity_overlap(a: Column, b: Column) -> Column:
     """Jaccard, raised by 1.3 (to at most 1) when two or more are shared."""
     sim = tx.jaccard(a, b)
-    return F.when(F.size(F.array_intersect(a, b)) >= 2, F.least(sim * 1.3, F.lit(1.0))).otherwise(sim)
+    return F.when(F.size(F.array_intersect(a, b)) >= 2, F.least(sim * ENTITY_BOOST, F.lit(1.0))).otherwise(sim)
 
 
 def time_proximity(a: Column, b: Column) -> Column:
@@ -192,17 +192,42 @@ def pair_features(pairs: DataFrame, features: DataFrame) -> DataFrame:
         "time_sim": time_proximity(F.col("published_at_a"), F.col("published_at_b")),
         "title_sim": tx.jaccard(F.col("title_words_a"), F.col("title_words_b")),
     })
-    combined = F.col("cosine") * 0.40 + F.col("entity_sim") * 0.35 + F.col("keyword_sim") * 0.15 + F.col("time_sim") * 0.10
+    combined = (F.col("cosine") * COSINE_WEIGHT + F.col("entity_sim") * ENTITY_WEIGHT
+                + F.col("keyword_sim") * KEYWORD_WEIGHT + F.col("time_sim") * TIME_WEIGHT)
     return df.withColumn("combined", combined).drop("dot")
 
 
-def candidate_pairs(features: DataFrame, min_cosine: float, min_entity: float | None, min_title: float | None) -> DataFrame:
-    """Distinct (a, b) with cosine, entity overlap or title Jaccard at least the given values."""
-    found = simjoin.sparse_cosine_pairs(features.select("id", F.col("vector").alias("terms")), min_cosine).select("id_a", "id_b")
-    for column, t in (("entities", None if min_entity is None else min_entity / 1.3), ("title_words", min_title)):
-        if t is not None:
-            found = found.unionByName(simjoin.jaccard_pairs(features, "id", column, t).select("id_a", "id_b"))
-    return found.toDF("a", "b").distinct()
+def first_holders(features: DataFrame, column: str) -> DataFrame:
+    """(id, first) of every row with entries in an array column: ``first`` is the lowest id with the same entries."""
+    rows = features.filter(F.size(column) > 0).select("id", F.md5(F.to_json(F.struct(F.array_sort(column)))).alias("k"))
+    return rows.join(rows.groupBy("k").agg(F.min("id").alias("first")), "k").select("id", "first")
+
+
+def spread_pairs(found: DataFrame, holders: DataFrame) -> DataFrame:
+    """Pairs (a, b) of first holders, taken to the rows: copies meet their first holder and the first holders it is paired with.
+
+    The result grows with the rows, never with the square of a group of copies.
+    """
+    found = found.toDF("a", "b")
+    copies = holders.filter(F.col("id") != F.col("first"))
+    return (
+        copies.select(F.col("first").alias("a"), F.col("id").alias("b")).unionByName(found)
+        .unionByName(found.join(copies, F.col("a") == F.col("first")).select(F.col("id").alias("a"), "b"))
+        .unionByName(found.join(copies, F.col("b") == F.col("first")).select("a", F.col("id").alias("b")))
+    )
+
+
+def candidate_pairs(features: DataFrame, min_cosine: float, **at_least: float) -> DataFrame:
+    """Distinct (a, b), a < b, with cosine or the Jaccard of a named feature at least the given values.
+
+    Rows alike in a feature stand behind the first of them in the search for that feature, see ``spread_pairs``.
+    """
+    near = simjoin.sparse_cosine_pairs(features.select("id", F.col("vector").alias("terms")), min_cosine)
+    found = spread_pairs(near.select("id_a", "id_b"), first_holders(features, "vector"))
+    for column, t in at_least.items():
+        alike = simjoin.jaccard_pairs(features, "id", column, t).select("id_a", "id_b")
+        found = found.unionByName(spread_pairs(alike, first_holders(features, column)))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def unique_content(features: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -214,19 +239,25 @@ def unique_content(features: DataFrame, *columns: str) -> tuple[DataFrame, DataF
     return folded, ids
 
 
-def story_leaders(features: DataFrame, t: float, min_cosine: float, min_entity: float) -> DataFrame:
+# Weights of the combined similarity.
+COSINE_WEIGHT, ENTITY_WEIGHT, KEYWORD_WEIGHT, TIME_WEIGHT = 0.40, 0.35, 0.15, 0.10
+ENTITY_BOOST = 1.3
+
+
+def story_leaders(features: DataFrame, t: float, min_keywords: float = 0.5) -> DataFrame:
     """(id, leader): articles join the first earlier leader with combined similarity above ``t``.
 
-    A link needs content cosine of at least ``min_cosine`` or entity overlap of at
-    least ``min_entity``: keywords and time alone never link two articles.
+    Candidates need no rule of their own: if keywords overlap less than ``min_keywords`` and both cosine and entity
+    overlap lie below the bound searched for, the combined value cannot exceed ``t``, whatever the times are.
     Articles alike in every signal but time act as one.
     """
+    bound = (t - TIME_WEIGHT - KEYWORD_WEIGHT * min_keywords) / (COSINE_WEIGHT + ENTITY_WEIGHT)
+    if bound <= 0:
+        raise ValueError("threshold too low: time and keywords alone would link any two articles")
     folded, ids = unique_content(features, "vector", "entities", "keywords")
     folded, ids = cut_lineage(folded), cut_lineage(ids)
-    pairs = pair_features(candidate_pairs(folded, min_cosine, min_entity, None), folded)
-    strong = (F.col("cosine") >= min_cosine) | (F.col("entity_sim") >= min_entity)
-    edges = pairs.filter((F.col("combined") > t) & strong).select(
-        F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
+    pairs = pair_features(candidate_pairs(folded, bound, entities=bound / ENTITY_BOOST, keywords=min_keywords), folded)
+    edges = pairs.filter(F.col("combined") > t).select(F.col("a").alias("early"), F.col("b").alias("late"))
     led = graph.edge_leaders(edges.withColumn("early_ord", F.col("early")))
     return ids.join(led.toDF("first_id", "leader"), "first_id", "left").select(
         "id", F.coalesce("leader", "first_id").alias("leader"))
@@ -257,7 +288,7 @@ def same_subject(title_t: float, content_t: float) -> Column:
 
 def subject_pairs(features: DataFrame, title_t: float, content_t: float) -> DataFrame:
     """Pairs of articles about the same subject, with their signals. ``title_t`` is at least 0.30."""
-    pairs = candidate_pairs(features, content_t, 0.50, min(title_t, 0.30))
+    pairs = candidate_pairs(features, content_t, entities=0.50 / ENTITY_BOOST, title_words=min(title_t, 0.30))
     return pair_features(pairs, features).filter(same_subject(title_t, content_t))
 
 
@@ -273,8 +304,11 @@ def subject_leaders(
     edges = subject_pairs(folded, title_t, content_t).select(
         F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
     if dense is not None:
-        near = simjoin.dense_cosine_pairs(dense.join(folded.select("id"), "id", "left_semi"), "id", "embedding", dense_t)
-        edges = edges.unionByName(near.select(F.col("id_a").alias("early"), F.col("id_b").alias("late"))).distinct()
+        dense = cut_lineage(dense.join(ids, "id"))
+        near = simjoin.dense_cosine_pairs(dense, "id", "embedding", dense_t).select("id_a", "id_b")
+        met = spread_pairs(near, simjoin.dense_members(dense, "id", "embedding"))
+        met = met.join(ids.toDF("a", "fa"), "a").join(ids.toDF("b", "fb"), "b").filter(F.col("fa") != F.col("fb"))
+        edges = edges.unionByName(met.select(F.least("fa", "fb").alias("early"), F.greatest("fa", "fb").alias("late"))).distinct()
     led = graph.edge_leaders(edges.withColumn("early_ord", F.col("early")))
     return ids.join(led.toDF("first_id", "leader"), "first_id", "left").select(
         "id", F.coalesce("leader", "first_id").alias("leader"))

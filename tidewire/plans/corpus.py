@@ -265,13 +265,13 @@ def _(t):
 
 @query("similarity_dedup")
 def _(t):
-    led = cp.story_leaders(_features(t), 0.55, 0.55, 0.50)
+    led = cp.story_leaders(_features(t), 0.55)
     return led.select("id", "leader", (C("id") != C("leader")).alias("is_duplicate"))
 
 
 @query("story_groups")
 def _(t):
-    led = cp.story_leaders(_features(t), 0.28, 0.28, 0.35)
+    led = cp.story_leaders(_features(t), 0.28)
     members = led.join(thin_articles(t).select("id", "url", "title", "content"), "id")
     rep = cp.representatives(members, "leader", [F.desc(F.length("content")), F.asc("id")])
     return rep.select("leader", C("id").alias("representative"), "cluster_size", "source_count")
