@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality, near-duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written and read again as the next one's docs. All but
-the last keep the columns of documents.
+the last keep the columns of documents, whatever further columns there are and however they are named. Null and empty
+texts pass as empty ones, repeated rows are judged alike, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from tidewire.sources.mart import read_mart
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier scores at its threshold or above."""
     machine = quality.fitted(docs, read_mart(spark, sf_dir, "labels"))
-    return quality.scored(docs, machine, docs.columns).filter(F.col("score") >= quality.THRESHOLD).drop("score")
+    rows = quality.scored(docs.select(F.struct("*").alias("row"), "text"), machine, ["row"])
+    return rows.filter(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def keep_clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     _, hits = decontamination.window_hits(docs, read_mart(spark, sf_dir, "benchmark"))
-    return docs.select("*", *text_key()).join(hits.select(*KEY).distinct(), list(KEY), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), *text_key())
+    return rows.join(hits.select(*KEY).distinct(), list(KEY), "left_anti").select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

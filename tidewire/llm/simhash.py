@@ -224,8 +224,8 @@ def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = components(docs, radius)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "kh")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.kh").alias("first_kh"))
-    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64(whole()) == F.col("first_kh"))
-    kept = docs.join(first, same, "left_semi")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(whole()).alias("kh"))  # names in docs may clash
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("kh") == F.col("first_kh")), "left_semi").select("row.*")
     all_once = found.groupBy("doc_id", "kh").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     return kept if all_once else kept.dropDuplicates(["doc_id", "text"])
 
