@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontamination, packing, pii, quality, simhash
+from tidewire.llm import copies, decontamination, packing, pii, quality
 from tidewire.llm.common import KEY, text_key
 from tidewire.session import scratch_path
 from tidewire.sources.mart import read_mart
@@ -24,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each SimHash component."""
-    return simhash.representatives(docs)
+    """The first document of each component of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return copies.representatives(docs)
 
 
 def keep_clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -219,9 +219,8 @@ def components(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, group
     return marked.join(codes, "fp").select("doc_id", "kh", "fp", "root", "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Whole rows of ``docs``, one per component: that of the smallest doc_id (then hash of the text; null ids last)."""
-    found = components(docs, radius)
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Whole rows of ``docs``, one per root in ``found`` (doc_id, kh, root): that of the smallest doc_id (then hash of the text; null ids last)."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "kh")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.kh").alias("first_kh"))
     rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(whole()).alias("kh"))  # names in docs may clash
