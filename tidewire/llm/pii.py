@@ -33,7 +33,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+")
+_MARKS = re.compile(r"[0-9@]+")
+_TRIGGER = re.compile(r"[0-9@]+|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")  # every candidate segment holds one
+_SAID = re.compile(r"at\s*[\])]?\s*[A-Za-z0-9-]+?(?:\.|\s?[\[(]?dot[\])]?\s?)[A-Za-z0-9-]", re.I)  # any spelled-out address does
+_TOKENS = re.compile(r"(?:[A-Za-z]++|[0-9]++|\s++|[^A-Za-z0-9\s]){0,%d}+" % SPAN_TOKENS)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
 _AT = re.compile(r"\s?[\[(]?\s?(?:@|\bat\b)\s?[\])]?\s?", re.I)
 
@@ -80,15 +83,31 @@ def rule_spans(text: str) -> list[Span]:
     return out
 
 
-def passages(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at signs that can hold an entity; all else is outside for certain."""
+def _tokens_before(text: str, at: int) -> int:
+    """Where the SPAN_TOKENS tokens before a place begin."""
+    width = 128
+    while True:
+        low = max(0, at - width)
+        taken = _TOKENS.match(text[low:at][::-1]).end()
+        if low == 0 or taken < at - low:
+            return at - taken
+        width *= 4
+
+
+def passages(text: str, trigger: re.Pattern = _TRIGGER, by_token: bool = True) -> list[tuple[int, int]]:
+    """Stretches around digits, at signs and the word "at" that hold every candidate segment; all else is outside for certain.
+
+    They reach REACH characters to each side and, with ``by_token``, at least as many tokens as a segment may have.
+    """
     out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
+    for m in trigger.finditer(text):
         start, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], end)
-        else:
-            out.append((start, end))
+        if by_token:
+            start, end = min(start, _tokens_before(text, m.start())), max(end, _TOKENS.match(text, m.end()).end())
+        while out and start <= out[-1][1]:
+            a, b = out.pop()
+            start, end = min(start, a), max(end, b)
+        out.append((start, end))
     return out
 
 
@@ -143,6 +162,15 @@ class SegmentField:
         self.weights[0] = -4.0  # without evidence everything is outside
         self.pairs = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
+    def silent(self) -> bool:
+        """Whether no segment without digits, at sign and form of an address can beat the outside, whatever its other features."""
+        k = len(KINDS)
+        top = self.weights[[0, 1, 8, 16]].sum(axis=0) + np.maximum(self.weights[[11, 12, 17, 18, 19, 20, 21, 22]], 0).sum(axis=0)
+        before = (self.pairs[:, :k] - self.pairs[:, k:]).max(axis=0)
+        after = np.maximum((self.pairs[:k] - self.pairs[k]).max(axis=1), 0)
+        longest = max(-3 * self.pairs[k, k], (1 - SPAN_TOKENS) * self.pairs[k, k])
+        return bool((top + before + after + longest < -1e-6).all())
+
     def forward(self, p: Passage, scores: np.ndarray) -> np.ndarray:
         k = len(KINDS)
         alpha = np.full((len(p.cuts) + 1, k + 1), -np.inf)
@@ -265,8 +293,12 @@ def train(samples: list[str], epochs: int = 6, rate: float = 0.3) -> SegmentFiel
 def added_spans(text: str, base: list[Span], model: SegmentField) -> list[Span]:
     """Segments of the most likely segmentation that overlap no span of the rules."""
     out = []
+    silent = model.silent()
     for start, end in passages(text):
-        p = Passage(text[start:end])
+        part = text[start:end]
+        if silent and not _MARKS.search(part) and not _SAID.search(part):
+            continue  # its best segmentation is all outside
+        p = Passage(part)
         for i, j, kind in model.best(p):
             a, b = start + p.cuts[i][0], start + p.cuts[j - 1][1]
             if not any(x < b and a < y for _, x, y in base):
@@ -282,7 +314,7 @@ def sample_passages(docs: DataFrame, limit: int = SAMPLE_PASSAGES) -> list[str]:
             found = []
             for value in batch.column(0):
                 text = value.as_py()
-                found += [(text[a:b], bool(rule_spans(text[a:b]))) for a, b in passages(text) if b - a <= 400]
+                found += [(text[a:b], bool(rule_spans(text[a:b]))) for a, b in passages(text, _MARKS, by_token=False) if b - a <= 400]
             yield pa.record_batch([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.bool_())], names=["passage", "marked"])
 
     cuts = docs.select(whole().alias("text")).mapInArrow(cut, "passage string, marked boolean").distinct()
@@ -314,7 +346,7 @@ def private_spans(docs: DataFrame, columns: list[str], model: SegmentField) -> D
             for value in batch.column(len(columns)):
                 text = value.as_py()
                 rules = rule_spans(text)
-                more = added_spans(text, rules, m) if _TRIGGER.search(text) else []
+                more = added_spans(text, rules, m)
                 merged = sorted(rules + more, key=lambda s: (KINDS.index(s[0]), s[1]))
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in rules])
                 every.append([dict(zip(("kind", "start", "end"), s)) for s in merged])
@@ -343,7 +375,7 @@ def masked_documents(docs: DataFrame, model: SegmentField) -> DataFrame:
             out = []
             for value in batch.column(at):
                 text = value.as_py()
-                if text is not None and _TRIGGER.search(text):
+                if text is not None:
                     rules = rule_spans(text)
                     text = masked(text, rules + added_spans(text, rules, shared.value))
                 out.append(text)
