@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewire.llm.audit import OP12_SQL, op12_filter_interaction_audit
 from tidewire.llm.decontamination import OP8_SQL, op8_benchmark_decontamination
 from tidewire.llm.edits import op7_token_counts
 from tidewire.llm.fingerprints import op1_fingerprints
@@ -38,3 +39,4 @@ _over("op7_token_counts", op7_token_counts, "documents")
 _over("op8_benchmark_decontamination", op8_benchmark_decontamination, "documents", "benchmark", sql=OP8_SQL)
 _over("op9_simhash_near_dedup", op9_simhash_near_dedup, "documents")
 _over("op10_quality_classifier", op10_quality_classifier, "documents", "labels")
+_over("op12_filter_interaction_audit", op12_filter_interaction_audit, "documents", "labels", sql=OP12_SQL)
