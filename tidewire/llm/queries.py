@@ -16,6 +16,7 @@ from tidewire.llm.pii import op5_pii
 from tidewire.llm.quality import op10_quality_classifier
 from tidewire.llm.sharding import op6_sharding
 from tidewire.llm.simhash import op9_simhash_near_dedup
+from tidewire.llm.suffix_tree import op13_lm_scoring
 from tidewire.llm.suffixes import op4_suffix_array_dedup
 from tidewire.sources.mart import read_mart
 
@@ -40,3 +41,4 @@ _over("op8_benchmark_decontamination", op8_benchmark_decontamination, "documents
 _over("op9_simhash_near_dedup", op9_simhash_near_dedup, "documents")
 _over("op10_quality_classifier", op10_quality_classifier, "documents", "labels")
 _over("op12_filter_interaction_audit", op12_filter_interaction_audit, "documents", "labels", sql=OP12_SQL)
+_over("op13_lm_scoring", op13_lm_scoring, "documents")
