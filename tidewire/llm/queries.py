@@ -18,6 +18,7 @@ from tidewire.llm.sharding import op6_sharding
 from tidewire.llm.simhash import op9_simhash_near_dedup
 from tidewire.llm.suffix_tree import op13_lm_scoring
 from tidewire.llm.suffixes import op4_suffix_array_dedup
+from tidewire.llm.turn_trie import OP11_SQL, op11_conversation_prefix_trie
 from tidewire.sources.mart import read_mart
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,5 +41,6 @@ _over("op7_token_counts", op7_token_counts, "documents")
 _over("op8_benchmark_decontamination", op8_benchmark_decontamination, "documents", "benchmark", sql=OP8_SQL)
 _over("op9_simhash_near_dedup", op9_simhash_near_dedup, "documents")
 _over("op10_quality_classifier", op10_quality_classifier, "documents", "labels")
+_over("op11_conversation_prefix_trie", op11_conversation_prefix_trie, "conversations", sql=OP11_SQL)
 _over("op12_filter_interaction_audit", op12_filter_interaction_audit, "documents", "labels", sql=OP12_SQL)
 _over("op13_lm_scoring", op13_lm_scoring, "documents")
