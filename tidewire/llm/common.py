@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.session import cut_lineage
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files nothing refers to any more: it does so once the driver's objects are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row, however often ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
