@@ -32,6 +32,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_GOES_ON = re.compile(r"[.-][A-Za-z0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _MARKS = re.compile(r"[0-9@]+")
 _TRIGGER = re.compile(r"[0-9@]+|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")  # every candidate segment holds one
@@ -71,7 +72,7 @@ def rule_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p) <= 400 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(digits := m[0].replace(" ", "").replace("-", "")) <= 19 and luhn(digits):
@@ -129,10 +130,11 @@ def span_features(text: str, start: int, end: int) -> list[float]:
         float([len(g) for g in groups[-3:]] == [3, 3, 4]), float(len(groups) == 4 and all(len(g) == 4 for g in groups)),
         float(len(groups) == 1), float(bool(re.search(r"[^0-9\s().+-]", span))), float(before.isalnum()), float(after.isalnum()),
         float(before == "+" or before in "(" and before != ""), float("\n" in span), float(span[-1].isdigit()), float("  " in span),
+        float(before in _LOCAL), float(bool(_GOES_ON.match(text, end))),
     ]
 
 
-FEATURES = 23
+FEATURES = 25
 
 
 class Passage:
@@ -162,14 +164,28 @@ class SegmentField:
         self.weights[0] = -4.0  # without evidence everything is outside
         self.pairs = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
-    def silent(self) -> bool:
-        """Whether no segment without digits, at sign and form of an address can beat the outside, whatever its other features."""
+    def silent(self) -> list[bool]:
+        """By ``_signs`` of a passage: whether no segment in it can beat the outside, given that none holds a digit, an at sign or an address.
+
+        The features such a segment has for certain count in full, of those that exclude each other the better one, and
+        those that need a sign the passage lacks not at all. The neighbouring labels are taken at their best.
+        """
         k = len(KINDS)
-        top = self.weights[[0, 1, 8, 16]].sum(axis=0) + np.maximum(self.weights[[11, 12, 17, 18, 19, 20, 21, 22]], 0).sum(axis=0)
         before = (self.pairs[:, :k] - self.pairs[:, k:]).max(axis=0)
         after = np.maximum((self.pairs[:k] - self.pairs[k]).max(axis=1), 0)
         longest = max(-3 * self.pairs[k, k], (1 - SPAN_TOKENS) * self.pairs[k, k])
-        return bool((top + before + after + longest < -1e-6).all())
+        plain = self.weights[[0, 1, 8, 16]].sum(axis=0) + before + after + longest
+        none = np.zeros(k)
+        out = []
+        for signs in range(8):
+            bracket, line, blanks = signs & 1, signs & 2, signs & 4
+            best = plain + np.maximum(self.weights[[18, 23, 24]], 0).sum(axis=0)
+            best += np.maximum.reduce([none, self.weights[11], self.weights[12]]) if bracket else none
+            best += np.maximum.reduce([none, self.weights[17], self.weights[19] if bracket else none])
+            best += np.maximum(none, self.weights[20]) if line else none
+            best += np.maximum(none, self.weights[22]) if blanks else none
+            out.append(bool((best < -1e-6).all()))
+        return out
 
     def forward(self, p: Passage, scores: np.ndarray) -> np.ndarray:
         k = len(KINDS)
@@ -290,13 +306,17 @@ def train(samples: list[str], epochs: int = 6, rate: float = 0.3) -> SegmentFiel
     return model
 
 
-def added_spans(text: str, base: list[Span], model: SegmentField) -> list[Span]:
-    """Segments of the most likely segmentation that overlap no span of the rules."""
+def _signs(part: str) -> int:
+    return ("(" in part or "+" in part) | ("\n" in part) << 1 | ("  " in part) << 2
+
+
+def added_spans(text: str, base: list[Span], model: SegmentField, silent: list[bool] | None = None) -> list[Span]:
+    """Segments of the most likely segmentation that overlap no span of the rules. ``silent`` spares working out the model's anew."""
     out = []
-    silent = model.silent()
+    silent = model.silent() if silent is None else silent
     for start, end in passages(text):
         part = text[start:end]
-        if silent and not _MARKS.search(part) and not _SAID.search(part):
+        if silent[_signs(part)] and not _MARKS.search(part) and not _SAID.search(part):
             continue  # its best segmentation is all outside
         p = Passage(part)
         for i, j, kind in model.best(p):
@@ -307,21 +327,27 @@ def added_spans(text: str, base: list[Span], model: SegmentField) -> list[Span]:
 
 
 def sample_passages(docs: DataFrame, limit: int = SAMPLE_PASSAGES) -> list[str]:
-    """At most ``limit`` passages of up to 400 characters in equal numbers with and without rule spans, lowest hashes first."""
+    """At most ``limit`` passages of up to 400 characters, lowest hashes first: half with rule spans, a quarter with digits or
+    at signs alone, a quarter with nothing but the word "at"."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for value in batch.column(0):
                 text = value.as_py()
-                found += [(text[a:b], bool(rule_spans(text[a:b]))) for a, b in passages(text, _MARKS, by_token=False) if b - a <= 400]
-            yield pa.record_batch([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.bool_())], names=["passage", "marked"])
-
-    cuts = docs.select(whole().alias("text")).mapInArrow(cut, "passage string, marked boolean").distinct()
-    half = max(1, limit // 2)
+                for trigger in (_MARKS, _TRIGGER):
+                    for a, b in passages(text, trigger, by_token=False):
+                        part = text[a:b]
+                        plain = not _MARKS.search(part)
+                        if b - a <= 400 and plain == (trigger is _TRIGGER):
+                            found.append((part, 2 if plain else 0 if rule_spans(part) else 1))
+            yield pa.record_batch([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], names=["passage", "kind"])
+
+    cuts = docs.select(whole().alias("text")).mapInArrow(cut, "passage string, kind int")
     chosen = None
-    for marked in (True, False):
-        part = cuts.filter(F.col("marked") == marked).orderBy(F.xxhash64("passage"), "passage").limit(half)
+    for kind, share in enumerate((2, 4, 4)):
+        part = cuts.filter(F.col("kind") == kind).select("passage", F.xxhash64("passage").alias("h")).groupBy("h").agg(
+            F.min("passage").alias("passage")).orderBy("h").limit(max(1, limit // share))
         chosen = part if chosen is None else chosen.unionByName(part)
     return sorted(r.passage for r in chosen.collect())  # bounded by ``limit``
 
@@ -341,12 +367,13 @@ def private_spans(docs: DataFrame, columns: list[str], model: SegmentField) -> D
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        silent = m.silent()
         for batch in batches:
             base, every = [], []
             for value in batch.column(len(columns)):
                 text = value.as_py()
                 rules = rule_spans(text)
-                more = added_spans(text, rules, m)
+                more = added_spans(text, rules, m, silent)
                 merged = sorted(rules + more, key=lambda s: (KINDS.index(s[0]), s[1]))
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in rules])
                 every.append([dict(zip(("kind", "start", "end"), s)) for s in merged])
@@ -366,22 +393,24 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def masked_documents(docs: DataFrame, model: SegmentField) -> DataFrame:
-    """``docs`` with every span in the text replaced by its kind, and n_chars counted anew; null texts stay null."""
+    """``docs`` with every span in the text replaced by its kind, and n_chars, where there is one, counted anew; null texts stay null."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, schema = docs.columns.index("text"), docs.schema
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        silent = shared.value.silent()
         for batch in batches:
             out = []
             for value in batch.column(at):
                 text = value.as_py()
                 if text is not None:
                     rules = rule_spans(text)
-                    text = masked(text, rules + added_spans(text, rules, shared.value))
+                    text = masked(text, rules + added_spans(text, rules, shared.value, silent))
                 out.append(text)
             yield batch.set_column(at, "text", pa.array(out, pa.string()))
 
-    return docs.mapInArrow(of, schema).withColumn("n_chars", F.char_length(whole()).cast(schema["n_chars"].dataType))
+    out = docs.mapInArrow(of, schema)
+    return out.withColumn("n_chars", F.char_length(whole()).cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op5_pii(docs: DataFrame) -> DataFrame:
