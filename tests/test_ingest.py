@@ -5,9 +5,10 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidewire.functions import text as tx
 from tidewire.schemas import EVENT_POST, HEARTBEAT, SOURCE_CATALOGUE
 from tidewire.sources import feeds
-from tidewire.sources.keyed_table import SESSION_STATE, KeyedTable, last_write_wins, session_fold
+from tidewire.sources.keyed_table import SESSION_STATE, last_write_wins, merged, read_state, session_fold, write_batch
 from tidewire.streaming import ingest
 
 NOON = datetime(2024, 1, 30, 12)
@@ -43,24 +44,49 @@ def test_session_state(spark):
     rows = [("a", None, "u1", "ios", None, "1", "sa", 0, datetime(2024, 1, 1, 10), 1), ("a", None, "", "android", None, "2", "zz", 1, datetime(2024, 1, 2, 10), 2),
             ("b", None, None, None, "web", None, "", 0, datetime(2024, 1, 2, 11), 3)]
     changes = ingest.clean_heartbeats(spark.createDataFrame(rows, HEARTBEAT))
-    table = KeyedTable(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"), SESSION_STATE, session_fold)
-    table.apply(changes.filter("ping_id = 1"), 0)
-    table.apply(changes.filter("ping_id > 1"), 1)
-    before = {r.session_id: r for r in table.current().collect()}
-    table.compact()
-    after = {r.session_id: r for r in table.current().collect()}
-    assert before == after
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    write_batch(changes.filter("ping_id = 1"), path, "s", 0, session_fold)
+    write_batch(changes.filter("ping_id > 1"), path, "s", 1, session_fold)
+    before = {r.session_id: r for r in read_state(spark, path, SESSION_STATE, session_fold).collect()}
+    once = merged(session_fold, changes)
+    again = {r.session_id: r for r in merged(session_fold, once.select(*changes.columns), changes).select(*once.columns).collect()}
+    assert {k: r.asDict() for k, r in before.items()} == {k: r.asDict() for k, r in again.items()}
     assert before["a"].user_id == "u1" and before["a"].device_os == "android" and before["a"].created_at == datetime(2024, 1, 1, 10)
     assert before["a"].country_code == "ZZ" and before["b"].country == "مصر"
 
 
 def test_retried_batch_changes_nothing(spark):
-    table = KeyedTable(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "k string, n bigint", last_write_wins(["k"], ["n"]))
+    path, fold = tempfile.mkdtemp(prefix="spark-", dir="/tmp"), last_write_wins(["k"], ["n"])
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "k string, n bigint")
     for _ in range(2):
-        table.apply(df, 7)
-    assert sorted((r.k, r.n) for r in table.current().collect()) == [("a", 3), ("b", 2)]
-    assert table.rows().count() == 2
+        write_batch(df, path, "s", 7, fold)
+    assert sorted(map(tuple, read_state(spark, path, "k string, n bigint", fold).collect())) == [("a", 3), ("b", 2)]
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_streams_go_on_after_a_restart_and_do_not_hide_each_other(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+    def summed(df):
+        return df.groupBy("k").agg(F.sum("n").alias("n"))
+
+    def run(checkpoint):
+        source = spark.readStream.schema("k string, n bigint").parquet(f"{root}/in")
+        ingest.stream_into(source, f"{root}/out", summed, f"{root}/{checkpoint}").awaitTermination()
+        return sorted(map(tuple, read_state(spark, f"{root}/out", "k string, n bigint", summed).collect()))
+
+    spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "k string, n bigint").write.parquet(f"{root}/in")
+    assert run("one") == [("a", 4), ("b", 2)] == run("one")
+    spark.createDataFrame([("a", 10)], "k string, n bigint").write.mode("append").parquet(f"{root}/in")
+    assert run("one") == [("a", 14), ("b", 2)]
+    assert run("two") == [("a", 28), ("b", 4)]  # reads all again, into partitions of its own
+
+
+def test_long_metadata_is_kept_whole(spark):
+    long = '{"a": "' + "x" * 9000 + '"}'
+    df = spark.createDataFrame([(1, long), (2, long[:-1]), (3, ""), (4, None)], "id int, m string")
+    got = df.select("id", tx.valid_metadata(F.col("m")).alias("whole"), tx.valid_metadata(F.col("m"), 8000).alias("narrow")).orderBy("id").collect()
+    assert [(r.whole, r.narrow) for r in got] == [(long, None), (None, None), (None, None), (None, None)]
 
 
 def test_stream_counts_equal_batch(spark, tables):

@@ -200,9 +200,9 @@ def strip_control(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F]", "")
 
 
-def sanitize(text: Column, max_len: int = 255) -> Column:
-    """Trimmed and cut to a storage width, by characters."""
-    return F.substring(F.trim(text), 1, max_len)
+def sanitize(text: Column, max_len: int | None = None) -> Column:
+    """Trimmed, and cut to a storage width, by characters, if one is given."""
+    return F.trim(text) if max_len is None else F.substring(F.trim(text), 1, max_len)
 
 
 ACCENT_FROM, ACCENT_TO = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "aaaaaaaceeeeiiiionoooooouuuuyyy"
@@ -360,7 +360,7 @@ def category_id(raw: Column) -> Column:
     return F.coalesce(F.create_map(*pairs)[raw], raw)
 
 
-def valid_metadata(raw: Column, max_len: int = 8000) -> Column:
-    """JSON text cut to the storage width, null when what is left is not valid JSON."""
-    cut = F.substring(raw, 1, max_len)
-    return F.when((cut != "") & F.try_parse_json(cut).isNotNull(), cut)
+def valid_metadata(raw: Column, max_len: int | None = None) -> Column:
+    """JSON text, null when it is not valid JSON or, where a storage width is given, longer than that."""
+    valid = (raw != "") & F.try_parse_json(raw).isNotNull()
+    return F.when(valid if max_len is None else valid & (F.char_length(raw) <= max_len), raw)

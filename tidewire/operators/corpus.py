@@ -16,7 +16,7 @@ from tidewire.functions import bags
 from tidewire.functions import lexicon as lx
 from tidewire.functions import text as tx
 from tidewire.functions import url as ux
-from tidewire.operators import graph, simjoin
+from tidewire.operators import graph, linkage, simjoin
 from tidewire.operators.keyed import attach_group_stats, ranked_per_key, top_per_key
 from tidewire.session import cut_lineage
 
@@ -48,22 +48,8 @@ def reject_repeats(df: DataFrame, title_fp: str, content_fp: str, url_fp: str, o
 # --- near duplicates --------------------------------------------------------------------
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str, tokens: str, t: float, order: Column | None = None, pairs: bool = False, url: str | None = None
-):
-    """(id, kept_id, is_duplicate, similarity): rows join the first kept row they resemble.
-
-    With ``url``, rows of one URL count as one: the lowest id is compared, the others join what it joins and have no
-    similarity. Rows without URL are compared each.
-    """
-    if url is not None:
-        firsts = df.filter(F.col(url).isNotNull()).groupBy(url).agg(F.min(id_col).alias("first_id"))
-        df = df.join(firsts, url, "left").withColumn("first_id", F.coalesce("first_id", id_col))
-        led = near_duplicates(df.filter(F.col(id_col) == F.col("first_id")).drop("first_id"), id_col, tokens, t, order, pairs)
-        repeats = df.filter(F.col(id_col) != F.col("first_id")).select(F.col(id_col).alias("repeat_id"), "first_id")
-        repeats = repeats.join(led, F.col("first_id") == F.col("id")).select(
-            F.col("repeat_id").alias("id"), "kept_id", F.lit(True).alias("is_duplicate"), F.lit(None).cast("double").alias("similarity"))
-        return led.unionByName(repeats)
+def near_duplicates(df: DataFrame, id_col: str, tokens: str, t: float, order: Column | None = None, pairs: bool = False) -> DataFrame:
+    """(id, kept_id, is_duplicate, similarity): rows join the first kept row they resemble. Every row is compared, whatever its URL."""
     led = graph.set_leaders(df, id_col, tokens, t, order, pairs)
     return led.select("id", F.col("leader").alias("kept_id"), (F.col("id") != F.col("leader")).alias("is_duplicate"), "similarity")
 
@@ -204,23 +190,21 @@ def first_holders(features: DataFrame, column: str) -> DataFrame:
 
 
 def spread_pairs(found: DataFrame, holders: DataFrame) -> DataFrame:
-    """Pairs (a, b) of first holders, taken to the rows: copies meet their first holder and the first holders it is paired with.
+    """Pairs (a, b) of first holders, taken to the rows: every holder of one value meets every holder of the other, and of its own.
 
-    The result grows with the rows, never with the square of a group of copies.
+    Rows that are alike in all signals are folded before, so holders of one value differ in another one, and each of
+    these pairs has to be looked at.
     """
-    found = found.toDF("a", "b")
-    copies = holders.filter(F.col("id") != F.col("first"))
-    return (
-        copies.select(F.col("first").alias("a"), F.col("id").alias("b")).unionByName(found)
-        .unionByName(found.join(copies, F.col("a") == F.col("first")).select(F.col("id").alias("a"), "b"))
-        .unionByName(found.join(copies, F.col("b") == F.col("first")).select("a", F.col("id").alias("b")))
-    )
+    own = holders.filter(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("first").alias("b")).distinct()
+    groups = found.toDF("a", "b").unionByName(own)
+    met = groups.join(holders.toDF("x", "a"), "a").join(holders.toDF("y", "b"), "b").filter(F.col("x") != F.col("y"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def candidate_pairs(features: DataFrame, min_cosine: float, **at_least: float) -> DataFrame:
     """Distinct (a, b), a < b, with cosine or the Jaccard of a named feature at least the given values.
 
-    Rows alike in a feature stand behind the first of them in the search for that feature, see ``spread_pairs``.
+    Rows alike in a feature are searched for as one and then taken apart again, see ``spread_pairs``.
     """
     near = simjoin.sparse_cosine_pairs(features.select("id", F.col("vector").alias("terms")), min_cosine)
     found = spread_pairs(near.select("id_a", "id_b"), first_holders(features, "vector"))
@@ -230,9 +214,10 @@ def candidate_pairs(features: DataFrame, min_cosine: float, **at_least: float) -
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def unique_content(features: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with equal values in ``columns`` folded to the first id: (folded rows, id -> first id)."""
-    keyed = features.withColumn("__k", F.md5(F.to_json(F.struct(*columns))))
+def unique_content(features: DataFrame, *columns: str, alone: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with equal values in ``columns`` folded to the first id: (folded rows, id -> first id). Rows that are ``alone`` stay apart."""
+    own = F.when(F.coalesce(alone, F.lit(False)), F.col("id")) if alone is not None else F.lit(None)
+    keyed = features.withColumn("__k", F.md5(F.to_json(F.struct(*columns, own.cast("string").alias("own")))))
     first = keyed.groupBy("__k").agg(F.min("id").alias("first_id"))
     ids = keyed.select("id", "__k").join(first, "__k").select("id", "first_id")
     folded = keyed.join(first.select(F.col("first_id").alias("id")), "id", "left_semi").drop("__k")
@@ -244,25 +229,57 @@ COSINE_WEIGHT, ENTITY_WEIGHT, KEYWORD_WEIGHT, TIME_WEIGHT = 0.40, 0.35, 0.15, 0.
 ENTITY_BOOST = 1.3
 
 
-def story_leaders(features: DataFrame, t: float, min_keywords: float = 0.5) -> DataFrame:
-    """(id, leader): articles join the first earlier leader with combined similarity above ``t``.
+SIGNALS = ("vector", "entities", "keywords", "published_at")
+
+
+def self_similarity() -> Column:
+    """Combined similarity of an article with a copy of itself, which no other article exceeds."""
+    return (F.when(F.size("vector") > 0, COSINE_WEIGHT).otherwise(0.0) + F.when(F.size("entities") > 0, ENTITY_WEIGHT).otherwise(0.0)
+            + F.when(F.size("keywords") > 0, KEYWORD_WEIGHT).otherwise(0.0) + F.when(F.col("published_at").isNotNull(), TIME_WEIGHT).otherwise(0.0))
+
+
+def alike_above(features: DataFrame, t: float, min_keywords: float = 0.5) -> DataFrame:
+    """All pairs with combined similarity above ``t``, with their signals.
 
     Candidates need no rule of their own: if keywords overlap less than ``min_keywords`` and both cosine and entity
     overlap lie below the bound searched for, the combined value cannot exceed ``t``, whatever the times are.
-    Articles alike in every signal but time act as one.
     """
     bound = (t - TIME_WEIGHT - KEYWORD_WEIGHT * min_keywords) / (COSINE_WEIGHT + ENTITY_WEIGHT)
     if bound <= 0:
         raise ValueError("threshold too low: time and keywords alone would link any two articles")
-    folded, ids = unique_content(features, "vector", "entities", "keywords")
+    pairs = pair_features(candidate_pairs(features, bound, entities=bound / ENTITY_BOOST, keywords=min_keywords), features)
+    return pairs.filter(F.col("combined") > t)
+
+
+def story_leaders(features: DataFrame, t: float, min_keywords: float = 0.5) -> DataFrame:
+    """(id, leader): articles join the first earlier leader with combined similarity above ``t``.
+
+    Articles alike in all signals act as one if that links them to each other.
+    """
+    folded, ids = unique_content(features, *SIGNALS, alone=self_similarity() <= t)
     folded, ids = cut_lineage(folded), cut_lineage(ids)
-    pairs = pair_features(candidate_pairs(folded, bound, entities=bound / ENTITY_BOOST, keywords=min_keywords), folded)
-    edges = pairs.filter(F.col("combined") > t).select(F.col("a").alias("early"), F.col("b").alias("late"))
+    edges = alike_above(folded, t, min_keywords).select(F.col("a").alias("early"), F.col("b").alias("late"))
     led = graph.edge_leaders(edges.withColumn("early_ord", F.col("early")))
     return ids.join(led.toDF("first_id", "leader"), "first_id", "left").select(
         "id", F.coalesce("leader", "first_id").alias("leader"))
 
 
+def story_clusters(features: DataFrame, t: float = 0.28, floor: float = 0.25, min_keywords: float = 0.3) -> DataFrame:
+    """(id, cluster): stories by average link of the combined similarity, see ``linkage.average_link``.
+
+    Similarities above ``floor`` are searched for; lower ones are worked out where two stories might merge. Articles
+    alike in all signals start as one story if that links them to each other.
+    """
+    folded, ids = unique_content(features, *SIGNALS, alone=self_similarity() <= t)
+    folded, ids = cut_lineage(folded), cut_lineage(ids)
+    points = ids.groupBy(F.col("first_id").alias("id")).agg(F.count("*").alias("n"))
+    value = linkage.scaled(F.col("combined")).alias("s")
+    # a pair may be rounded down to the floor: it then counts as one that was not found
+    known = alike_above(folded, floor, min_keywords).select("a", "b", value)
+    joined = linkage.average_link(points, known, t, floor, lambda pairs: pair_features(pairs, folded).select("a", "b", value))
+    return ids.join(joined.toDF("first_id", "cluster"), "first_id").select("id", "cluster")
+
+
 # Categories that may share a story.
 CATEGORY_PEERS = ("world international general|politics world local|business economy markets|technology tech|"
                   "general_news general local|sport sports football|arts entertainment culture").split("|")
@@ -297,9 +314,10 @@ def subject_leaders(
 ) -> DataFrame:
     """(id, leader) by the subject rule; with ``dense`` (id, embedding) also by embedding cosine.
 
-    Articles with the same title words act as one.
+    Articles alike in all features the rule looks at act as one if it links them to each other.
     """
-    folded, ids = unique_content(features, "title_words")
+    linked = (F.size("title_words") > 0) | ((F.size("vector") > 0) & F.col("category").isNotNull())
+    folded, ids = unique_content(features, "title_words", "vector", "entities", "category", alone=~linked)
     folded, ids = cut_lineage(folded), cut_lineage(ids)
     edges = subject_pairs(folded, title_t, content_t).select(
         F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late"))
@@ -423,12 +441,9 @@ def kmeans(features: DataFrame, k: int | None = None, seed: int = 42, max_iter:
     return model.transform(features).select("id", F.col("prediction").alias("cluster"))
 
 
-def hierarchy(features: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(id, cluster) by top-down bisecting clustering into k parts."""
-    from pyspark.ml.clustering import BisectingKMeans
-
-    model = BisectingKMeans(k=k, seed=seed).fit(features)
-    return model.transform(features).select("id", F.col("prediction").alias("cluster"))
+def hierarchy(points: DataFrame, k: int, start: float = 1.0) -> DataFrame:
+    """(id, cluster): the nearest clusters merge, by their nearest members, until ``k`` are left. ``points`` has (id, v)."""
+    return linkage.single_link(points, k, start)
 
 
 def principal_components(features: DataFrame, k: int = 50) -> DataFrame:

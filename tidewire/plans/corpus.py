@@ -11,7 +11,7 @@ from tidewire.functions import url as ux
 from tidewire.operators import corpus as cp
 from tidewire.operators import extraction as ex
 from tidewire.operators import feed as fd
-from tidewire.operators import graph, simjoin
+from tidewire.operators import graph, search, simjoin
 from tidewire.operators.keyed import ranked_per_key, top_per_key
 from tidewire.plans import sqltext as sq
 from tidewire.plans.extraction import _KW
@@ -88,7 +88,7 @@ def _(t):
 @query("near_duplicate_texts")
 def _(t):
     df = articles(t).select("id", "url", tx.word_set(C("content")).alias("w"))
-    return _rounded(cp.near_duplicates(df, "id", "w", 0.85, url="url"))
+    return _rounded(cp.near_duplicates(df, "id", "w", 0.85))
 
 
 def _quality(t):
@@ -100,7 +100,7 @@ def _quality(t):
 @query("near_duplicate_titles")
 def _(t):
     order = F.struct((-C("q")).alias("q"), C("id").alias("i"))
-    led = cp.near_duplicates(_quality(t), "id", "w", 0.55, order, pairs=True, url="url")
+    led = cp.near_duplicates(_quality(t), "id", "w", 0.55, order, pairs=True)
     return _rounded(led)
 
 
@@ -146,31 +146,41 @@ def _(t):
 # --- full-text search -------------------------------------------------------------------
 
 
-@query("phrase_search", f"""WITH {ART} SELECT id FROM art
-WHERE contains(' ' || array_to_string({sq.tokens('content', 1)}, ' ') || ' ', ' of the ') ORDER BY published_at DESC NULLS LAST, id LIMIT 100""")
+_SEARCHED = ("title", "summary", "content", "keywords")
+_PHRASES = ("of the", "to the and", "de la", "Of, THE!", "in", "no such words")
+_NEEDLES = ("tion of", "ing th", "Ça", "é", "xq", "economy", "nowhere to be found")
+
+
+def _searched(t):
+    return articles(t).select("id", "published_at", "title", "summary", "content", C("category").alias("keywords"))
+
+
+def _holds(phrase):
+    return " OR ".join(f"contains(' ' || array_to_string({sq.tokens('category' if f == 'keywords' else f, 1)}, ' ') || ' ', {phrase})" for f in _SEARCHED)
+
+
+@query("phrase_search", f"""WITH {ART} SELECT id FROM art WHERE {_holds("' of the '")} ORDER BY published_at DESC NULLS LAST, id LIMIT 100""")
 def _(t):
-    art = articles(t)
-    index = search_index(art)
-    hits = phrase_hits(index, ["of", "the"])
+    art = _searched(t)
+    hits = search.phrase_hits(search.segment(art), t.spark.createDataFrame([("of the",)], "phrase string"))
     return art.join(hits, "id", "left_semi").orderBy(F.desc_nulls_last("published_at"), "id").limit(100).select("id")
 
 
-def search_index(art):
-    """Inverted index: (token, id, positions) per article."""
-    flat = art.select("id", F.posexplode(tx.tokens(C("content"), 1)).alias("pos", "token"))
-    return flat.groupBy("token", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+@query("phrase_hits", f"""WITH {ART}, asked AS (SELECT unnest([{", ".join(f"'{p}'" for p in _PHRASES)}]) AS phrase),
+w AS (SELECT phrase, ' ' || array_to_string({sq.tokens('phrase', 1)}, ' ') || ' ' AS words FROM asked)
+SELECT phrase, id FROM art JOIN w ON {_holds('words')}""")
+def _(t):
+    """Two segments: the first half of the articles indexed twice."""
+    art = _searched(t)
+    index = search.merged(search.segment(art.filter("id % 2 = 0"), 0), search.segment(art, 1))
+    return search.phrase_hits(index, t.spark.createDataFrame([(p,) for p in _PHRASES], "phrase string"))
 
 
-def phrase_hits(index, words):
-    """Ids where the words stand next to each other in order."""
-    out = None
-    for i, word in enumerate(words):
-        part = index.filter(C("token") == word).select("id", F.transform("positions", lambda p: p - i).alias(f"p{i}"))
-        out = part if out is None else out.join(part, "id")
-    starts = C("p0")
-    for i in range(1, len(words)):
-        starts = F.array_intersect(starts, C(f"p{i}"))
-    return out.filter(F.size(starts) > 0).select("id")
+@query("substring_hits", f"""WITH {ART}, asked AS (SELECT unnest([{", ".join(f"'{n}'" for n in _NEEDLES)}]) AS needle)
+SELECT needle, id FROM art JOIN asked ON {" OR ".join(f"contains(lower({'category' if f == 'keywords' else f}), lower(needle))" for f in _SEARCHED)}""")
+def _(t):
+    art = _searched(t)
+    return search.substring_hits(search.gram_index(art), art, t.spark.createDataFrame([(n,) for n in _NEEDLES], "needle string"))
 
 
 # --- vectors ----------------------------------------------------------------------------
@@ -263,7 +273,19 @@ def _(t):
     return _signals(t).select("id", F.array_join(F.array_sort("entities"), " ").alias("entities"))
 
 
-@query("similarity_dedup")
+_COMBINED = f"""pd AS (SELECT a.id AS a, b.id AS b, sum(a.weight * b.weight) AS dot FROM ivec a JOIN ivec b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
+sims AS (SELECT p.id AS a, q.id AS b, least(coalesce(dot, 0.0), 1.0) AS cosine, {_overlap('p.ents', 'q.ents')} AS entity_sim, {sq.jaccard('p.kw', 'q.kw')} AS keyword_sim,
+  abs(trunc(date_diff('second', p.published_at, q.published_at) / 3600.0)) AS h FROM feat p JOIN feat q ON p.id < q.id LEFT JOIN pd ON pd.a = p.id AND pd.b = q.id),
+links AS (SELECT a, b FROM sims WHERE cosine * 0.40 + entity_sim * 0.35 + keyword_sim * 0.15 + {_TIME} * 0.10 > 0.55),
+early AS (SELECT b AS id, list(a) AS before FROM links GROUP BY 1),
+queue AS (SELECT art.id, row_number() OVER (ORDER BY art.id) AS n, coalesce(before, []) AS before FROM art LEFT JOIN early USING (id)),
+pass AS (SELECT n, id, id AS leader, [id] AS leaders FROM queue WHERE n = 1
+  UNION ALL SELECT o.n, o.id, coalesce(list_min(list_intersect(p.leaders, o.before)), o.id),
+    CASE WHEN len(list_intersect(p.leaders, o.before)) > 0 THEN p.leaders ELSE list_append(p.leaders, o.id) END FROM pass p JOIN queue o ON o.n = p.n + 1)"""
+
+
+@query("similarity_dedup", f"""WITH RECURSIVE {ART}, {_VEC}, {_IDF}, {_FEAT}, {_COMBINED}
+SELECT id, leader, id <> leader AS is_duplicate FROM pass""")
 def _(t):
     led = cp.story_leaders(_features(t), 0.55)
     return led.select("id", "leader", (C("id") != C("leader")).alias("is_duplicate"))
@@ -271,17 +293,17 @@ def _(t):
 
 @query("story_groups")
 def _(t):
-    led = cp.story_leaders(_features(t), 0.28)
-    members = led.join(thin_articles(t).select("id", "url", "title", "content"), "id")
-    rep = cp.representatives(members, "leader", [F.desc(F.length("content")), F.asc("id")])
-    return rep.select("leader", C("id").alias("representative"), "cluster_size", "source_count")
+    """Every article with its story, and whether it stands for it."""
+    members = cp.story_clusters(_features(t), 0.28).join(thin_articles(t).select("id", "url", "title", "content"), "id")
+    members = cut_lineage(members)
+    rep = cp.representatives(members, "cluster", [F.desc(F.length("content")), F.asc("id")])
+    rep = rep.select("cluster", C("id").alias("representative"), "cluster_size", "source_count")
+    return members.select("id", "cluster").join(rep, "cluster").select("id", C("cluster").alias("leader"), "representative", "cluster_size", "source_count")
 
 
 @query("subject_pairs")
 def _(t):
-    feats, _ids = cp.unique_content(_features(t), "title_words")
-    feats = cut_lineage(feats)
-    df = cp.subject_pairs(feats, 0.45, 0.55)
+    df = cp.subject_pairs(cut_lineage(_features(t)), 0.45, 0.55)
     return df.select("a", "b", F.round("title_sim", 6).alias("title_sim"), F.round("cosine", 6).alias("cosine"))
 
 
@@ -363,9 +385,15 @@ def _(t):
     return cp.cluster_sizes(out, "kmeans")
 
 
+@query("kmeans_members")
+def _(t):
+    return cp.kmeans(cp.ann_features(t.embeddings, "vec_id", "embedding"))
+
+
 @query("hierarchy_clusters")
 def _(t):
-    return cp.cluster_sizes(cp.hierarchy(cp.ann_features(t.embeddings, "vec_id", "embedding"), 10), "bisecting")
+    points = t.embeddings.select(C("vec_id").alias("id"), C("embedding").cast("array<double>").alias("v"))
+    return cp.cluster_sizes(cp.hierarchy(points, 10), "single link")
 
 
 @query("principal_components")

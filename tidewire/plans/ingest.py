@@ -14,7 +14,7 @@ from tidewire.registry import query
 from tidewire.schemas import MART_SCHEMAS
 from tidewire.session import scratch_path
 from tidewire.sources import feeds
-from tidewire.sources.keyed_table import SESSION_STATE, KeyedTable, last_write_wins, session_fold
+from tidewire.sources.keyed_table import SESSION_STATE, last_write_wins, merged, read_state, session_fold
 from tidewire.streaming import ingest as ing
 
 C = F.col
@@ -138,13 +138,9 @@ def _(t):
 
 @query("article_upserts", f"""WITH {ART} SELECT url, arg_max(id, id) AS id FROM art GROUP BY url""")
 def _(t):
-    table = KeyedTable(t.spark, scratch_path(t.spark, "articles"), "url string, id bigint, title string", last_write_wins(["url"], ["id"]))
-    art = articles(t).select("url", "id", "title")
-    table.apply(art.filter("status = 'draft'"), 0)
-    table.apply(art, 1)
-    table.compact()
-    table.apply(art.filter("language = 'fr'"), 2)
-    return table.current().select("url", "id")
+    art = articles(t)
+    batches = [part.select("url", "id", "title") for part in (art.filter("status = 'draft'"), art, art.filter("language = 'fr'"))]
+    return merged(last_write_wins(["url"], ["id"]), *batches).select("url", "id")
 
 
 # --- ingestion --------------------------------------------------------------------------
@@ -190,13 +186,11 @@ _HEART = f"""SELECT CAST(install AS VARCHAR) AS session_id, max(CASE WHEN id % 4
 
 @query("session_table", f"WITH {EV} {_HEART}")
 def _(t):
-    table = KeyedTable(t.spark, scratch_path(t.spark, "sessions"), SESSION_STATE, session_fold)
     changes = ing.clean_heartbeats(_pings(t))
     noon = F.lit(AS_OF).cast("timestamp_ntz")
-    table.apply(changes.filter(C("last_ping") <= noon), 0)
-    table.apply(changes.filter(C("last_ping") > noon), 1)
-    table.apply(changes.filter(C("last_ping") > noon), 1)  # a retried batch
-    return table.current().select("session_id", "user_id", "country_code", stamp("last_ping").alias("last_ping"), stamp("created_at").alias("created_at"))
+    late = changes.filter(C("last_ping") > noon)
+    known = merged(session_fold, changes.filter(C("last_ping") <= noon))
+    return merged(session_fold, known.select(*changes.columns), late, late).select("session_id", "user_id", "country_code", stamp("last_ping").alias("last_ping"), stamp("created_at").alias("created_at"))
 
 
 @query("rate_limited_events", """SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS hits,
@@ -280,21 +274,21 @@ def _(t):
 @query("stream_session_table", f"WITH {EV} {_HEART}")
 def _(t):
     path = scratch_path(t.spark, "session-stream")
-    table = KeyedTable(t.spark, path, SESSION_STATE, session_fold)
     t2 = type(t)(t.spark, t.folder)
     t2.events = _event_stream(t).withColumn("ts", C("ts").cast("timestamp_ntz"))
-    ing.stream_into(ing.clean_heartbeats(_pings(t2)), table, f"{path}-state").awaitTermination()
-    return table.current().select("session_id", "user_id", "country_code", stamp("last_ping").alias("last_ping"), stamp("created_at").alias("created_at"))
+    ing.stream_into(ing.clean_heartbeats(_pings(t2)), path, session_fold, f"{path}-state").awaitTermination()
+    return read_state(t.spark, path, SESSION_STATE, session_fold).select("session_id", "user_id", "country_code", stamp("last_ping").alias("last_ping"), stamp("created_at").alias("created_at"))
 
 
 @query("stream_interactions", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t):
     path = scratch_path(t.spark, "interactions")
-    table = KeyedTable(t.spark, path, "user_id bigint, event_type string, n bigint",
-                       lambda df: df.groupBy("user_id", "event_type").agg(F.sum("n").alias("n")))
+    def summed(df):
+        return df.groupBy("user_id", "event_type").agg(F.sum("n").alias("n"))
+
     counts = _event_stream(t).select("user_id", "event_type", F.lit(1).cast("bigint").alias("n"))
-    ing.stream_into(counts, table, f"{path}-state").awaitTermination()
-    return table.current()
+    ing.stream_into(counts, path, summed, f"{path}-state").awaitTermination()
+    return read_state(t.spark, path, "user_id bigint, event_type string, n bigint", summed)
 
 
 @query("stream_user_sessions")

@@ -83,7 +83,7 @@ def articles(t: Tables, wide: bool = False) -> DataFrame:
     """Documents in the shape of the article table: the first sentence is the title."""
     documents = widen(t.documents) if wide else t.documents
     title = F.trim(F.regexp_extract("text", r"^[^.!?\n]*", 0))
-    slug = F.substring(F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}]+", "-"), F.lit("-")), 1, 60)
+    slug = F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}]+", "-"), F.lit("-"))
     hours = ((F.col("doc_id") * 7919) % 3000 - 24).cast("int")
     day = F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(hours=hours)
     cats = F.array(*[F.lit(c) for c in CATEGORIES])
@@ -111,7 +111,7 @@ art0 AS (SELECT *, trim(regexp_extract(text, '^[^.!?\\n]*')) AS title FROM docum
 art AS (SELECT doc_id AS id, title, substr(text, 1, 200) AS summary, text AS content, lang AS language,
   [{', '.join("'" + c + "'" for c in CATEGORIES)}][1 + doc_id % 8] AS category, source AS source_name,
   'https://www.' || source || '.example.com/' || lang || '/2024/' || (doc_id % 12 + 1) || '/' ||
-    substr(trim(regexp_replace(lower(title), '[^\\pL]+', '-', 'g'), '-'), 1, 60) AS url,
+    trim(regexp_replace(lower(title), '[^\\pL]+', '-', 'g'), '-') AS url,
   CASE WHEN doc_id % 7 <> 0 THEN 'published' ELSE 'draft' END AS status,
   CASE WHEN doc_id % 9 = 0 THEN 'breaking' ELSE '' END AS event_type,
   CASE WHEN doc_id % 11 <> 0 THEN {NOW} - to_hours(CAST((doc_id * 7919) % 3000 - 24 AS INT)) END AS published_at,

@@ -1,78 +1,36 @@
-"""A keyed table on plain Parquet: change batches are appended, readers see the last state of each key.
+"""Merging change batches by key: a fold reduces all rows of a key to one, whatever was folded before.
 
-Each batch lies in its own folder and is overwritten when a batch is run again,
-so a retried micro-batch changes nothing. ``compact`` folds everything into a
-new base and swaps a small pointer file.
+Batches are plain Parquet partitions ``stream=.../batch=...``. A batch that runs again overwrites its own partition, so a
+retry changes nothing; batches of different streams lie apart. The state is the fold over all partitions; to shorten
+them, write that state as a batch of a new folder.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Fold = Callable[[DataFrame], DataFrame]
 
-class KeyedTable:
-    """``fold`` reduces all rows of a key to one; it must give the same result whatever rows were folded before."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, fold: Callable[[DataFrame], DataFrame]):
-        self.spark, self.path, self.schema, self.fold = spark, path.rstrip("/"), schema, fold
-
-    # file system helpers; the folder is shared, so only small marker files pass through the driver
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def _pointer(self) -> tuple[str | None, int]:
-        fs, path = self._fs()
-        mark = path(f"{self.path}/_current")
-        if not fs.exists(mark):
-            return None, -1
-        stream = fs.open(mark)
-        try:
-            base, upto = bytes(stream.readAllBytes()).decode().split("\n")[:2]
-        finally:
-            stream.close()
-        return base, int(upto)
-
-    def _deltas(self, after: int) -> list[str]:
-        fs, path = self._fs()
-        root = path(f"{self.path}/delta")
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        found = sorted(int(n.split("-")[1]) for n in names if n.startswith("batch-"))
-        return [f"{self.path}/delta/batch-{b}" for b in found if b > after]
-
-    def apply(self, changes: DataFrame, batch_id: int) -> None:
-        """Add a batch of changes, folded per key."""
-        columns = [c.strip().split()[0] for c in self.schema.split(",")]
-        self.fold(changes).select(*columns).write.mode("overwrite").parquet(f"{self.path}/delta/batch-{batch_id}")
-
-    def rows(self) -> DataFrame:
-        base, upto = self._pointer()
-        paths = ([base] if base else []) + self._deltas(upto)
-        if not paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*paths)
-
-    def current(self) -> DataFrame:
-        return self.fold(self.rows())
-
-    def compact(self) -> None:
-        """Fold base and batches into a new base."""
-        deltas = self._deltas(self._pointer()[1])
-        if not deltas:
-            return
-        upto = max(int(d.rsplit("-", 1)[1]) for d in deltas)
-        base = f"{self.path}/base-{upto}"
-        self.current().write.mode("overwrite").parquet(base)
-        fs, path = self._fs()
-        stream = fs.create(path(f"{self.path}/_current"), True)
-        stream.write(bytearray(f"{base}\n{upto}\n".encode()))
-        stream.close()
+
+def merged(fold: Fold, *batches: DataFrame) -> DataFrame:
+    """The state that the batches leave, in any order."""
+    return fold(reduce(DataFrame.unionByName, batches))
+
+
+def write_batch(changes: DataFrame, path: str, stream: str, batch_id: int, fold: Fold) -> None:
+    """Write a batch, folded by key, as its partition of ``path``."""
+    name = hashlib.md5(stream.encode()).hexdigest()[:12]
+    fold(changes).write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream={name}/batch={batch_id}")
+
+
+def read_state(spark: SparkSession, path: str, schema: str, fold: Fold) -> DataFrame:
+    """The state that all batches under ``path`` leave."""
+    return fold(spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path))
 
 
 def last_write_wins(keys: list[str], order: list[str]) -> Callable[[DataFrame], DataFrame]:
