@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from tidewire.llm import copies, simhash
 
@@ -89,12 +92,23 @@ def test_shingles():
     assert set(copies.shingles("a b c d e f")) == set(copies.shingles("A B C d e")) | set(copies.shingles("b c d e f"))
 
 
-def test_run_equals_the_plain_version_by_jaccard(spark, monkeypatch):
-    import test_pipeline
-
-    def plain(texts):
-        first = first_of_each_component(sorted(texts.items()))
-        return {i: t for i, t in texts.items() if i in first}
-
-    monkeypatch.setattr(test_pipeline, "first_of_each_component", plain)
-    test_pipeline.test_run_equals_the_plain_version(spark)
+@pytest.mark.parametrize("calm", [0, 3])
+def test_crowded_signatures_give_the_same_components(spark, monkeypatch, calm):
+    monkeypatch.setattr(copies, "HEADS", 1)
+    monkeypatch.setattr(copies, "TURNS", 1)
+    longer, given = [], copies.longer_signatures
+    monkeypatch.setattr(copies, "longer_signatures", lambda *a: longer.append(a[3]) or given(*a))
+    rows = edited_rows(8)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = copies.near_components(docs, calm=calm)
+    first = {r.root: r.first for r in found.groupBy("root").agg({"doc_id": "min"}).toDF("root", "first").collect()}
+    assert set(first.values()) == first_of_each_component(rows) and 2 in longer
+
+
+def test_parities_bound_the_difference():
+    rng = random.Random(3)
+    for size in (1, 5, 60, 400):
+        a = copies.shingles(" ".join(str(rng.random()) for _ in range(size)))
+        b = np.unique(np.concatenate([a[size // 3:], copies.shingles(" ".join(str(rng.random()) for _ in range(size // 4)))]))
+        apart = sum(int(x ^ y).bit_count() for x, y in zip(copies.parities(a).view(np.uint64), copies.parities(b).view(np.uint64)))
+        assert apart <= len(np.setxor1d(a, b)) and (copies.parities(a) == copies.parities(a[::-1])).all()

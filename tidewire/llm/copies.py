@@ -6,8 +6,11 @@ in one order, two such sets share a shingle among their first n - ceil(0.8 n) +
 thinly filled hash buckets, so common passages make few signatures. A tenth of each set is dealt out in excess of that:
 two linked sets share as many signatures as the smaller one has in excess, so sets that share fewer with all are out.
 
-Every set of a signature first meets one head. What is then in one component needs no more checks: per signature, only
-sets outside its largest component meet the others, so a mass of near copies never pairs with itself.
+Sets of one signature never all meet. Every set first meets ``HEADS`` heads of its signature. What is then in one component
+needs no more checks: where at most ``CALM`` sets lie outside the largest component of a signature, these meet all
+others, which is exact and linear. A signature with more of them takes new heads; if that goes on, it is replaced by
+signatures of one more shared shingle each (two sets share k shingles among their first n - ceil(0.8 n) + k), so its
+groups shrink. Before sets are compared, the parities of their shingles over 256 buckets bound how many differ.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import whole
+from tidewire.llm.common import drop_shuffles, whole
 from tidewire.llm.simhash import RADIUS, SEED, first_rows, near_edges
 from tidewire.operators.graph import connected_components
 from tidewire.session import cut_lineage
@@ -30,6 +33,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BUCKETS = 1 << 16
 EPS = 1e-9
+CALM = 1000
+HEADS = 8  # heads a crowded signature tries at once
+TURNS = 2  # times it does so before it is replaced by longer ones
+SHARED = 4  # shingles a signature has at most; sets of five shingles or more that are alike share as many
+PARITY = ("p0", "p1", "p2", "p3")
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -53,6 +61,17 @@ def simhash(hashes: np.ndarray) -> int:
     return int((np.uint64(1) << np.arange(64, dtype=np.uint64))[2 * ones > len(hashes)].sum(dtype=np.uint64))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """256 bits, one per bucket of hashes: whether it holds an odd number of them. Two sets differ at least where these do."""
+    odd = np.bincount((hashes >> np.uint64(32) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def rare_first(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The hashes by how full their bucket is, then by value."""
+    return hashes[np.lexsort((hashes, counts[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
+
+
 def bucket_counts(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """Occurrences of shingles by hash bucket: a table of fixed size."""
 
@@ -71,26 +90,27 @@ def bucket_counts(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
 
 
 def named_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, kh, key, fp) of every row: ``key`` names the set of shingles, ``fp`` is its SimHash."""
+    """(doc_id, kh, key, fp, parities) of every row: ``key`` names the set of shingles, ``fp`` is its SimHash."""
+    names = ["doc_id", "kh", "key", "fp", *PARITY]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), size) for t in batch.column(2)]
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
             codes = np.array([simhash(s) for s in sets], np.uint64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys.view(np.int64)), pa.array(codes.view(np.int64))],
-                                  names=["doc_id", "kh", "key", "fp"])
+            odd = np.array([parities(s) for s in sets], np.int64).reshape(-1, 4)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(keys.view(np.int64)), pa.array(codes.view(np.int64)),
+                                   *(pa.array(odd[:, i]) for i in range(4))], names=names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole()).alias("kh"), whole().alias("text"))
-    return source.mapInArrow(of, "doc_id bigint, kh bigint, key bigint, fp bigint")
+    return source.mapInArrow(of, ", ".join(f"{n} bigint" for n in names))
 
 
-def shared_signatures(docs: DataFrame, t: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+def shared_signatures(docs: DataFrame, counts: np.ndarray, t: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """(sig, key, size, pos) of signatures that several sets hold, for the sets that can have a link."""
-    counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, size))
+    told = docs.sparkSession.sparkContext.broadcast(counts)  # a table of fixed size
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = counts.value
         for batch in batches:
             for text in batch.column(0):
                 s = shingles(text.as_py(), size)
@@ -98,28 +118,26 @@ def shared_signatures(docs: DataFrame, t: float = SIMILARITY, size: int = SHINGL
                     continue
                 own = len(s) - math.ceil(t * len(s) - EPS)
                 head = min(len(s), own + max(1, len(s) // 10))
-                first = np.lexsort((s, n[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))[:head]
+                first = rare_first(s, told.value)[:head]
                 key = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED)], np.uint64).view(np.int64)
-                yield pa.record_batch([pa.array(s[first].view(np.int64)), pa.array(np.repeat(key, head)),
+                yield pa.record_batch([pa.array(first.view(np.int64)), pa.array(np.repeat(key, head)),
                                        pa.array(np.full(head, len(s), np.int32)), pa.array(np.arange(head, dtype=np.int32))],
                                       names=["sig", "key", "size", "pos"])
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (sig, key); the last signature of a batch waits for the next one."""
-        names, held = ["sig", "key", "size", "pos"], None
+        """Rows come sorted by (sig, key); one row waits for the next batch, however many sets hold its signature."""
+        names, held, before = ["sig", "key", "size", "pos"], np.zeros((4, 0), np.int64), False
         for batch in batches:
-            got = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
-            got = got if held is None else np.concatenate([held, got], axis=1)
-            done = np.searchsorted(got[0], got[0, -1]) if got.shape[1] else 0
-            held = got[:, done:]
-            yield pa.record_batch([pa.array(c) for c in of_several(got[:, :done])], names=names)
-        if held is not None:
-            yield pa.record_batch([pa.array(c) for c in of_several(held)], names=names)
-
-    def of_several(got: np.ndarray) -> np.ndarray:
-        got = got[:, np.r_[True, (got[:2, 1:] != got[:2, :-1]).any(axis=0)][:got.shape[1]]]  # a set counts once
-        same = got[0, 1:] == got[0, :-1]
-        return got[:, (np.r_[False, same] | np.r_[same, False])[:got.shape[1]]]
+            got = np.concatenate([held, np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])], axis=1)
+            if not got.shape[1]:
+                continue
+            got = got[:, np.r_[True, (got[:2, 1:] != got[:2, :-1]).any(axis=0)]]  # a set counts once
+            same = got[0, 1:] == got[0, :-1]
+            many = np.r_[before, same] | np.r_[same, False]
+            yield pa.record_batch([pa.array(c) for c in got[:, :-1][:, many[:-1]]], names=names)
+            held, before = got[:, -1:], bool(np.r_[before, same][-1])
+        if before:
+            yield pa.record_batch([pa.array(c) for c in held], names=names)
 
     longs = "sig bigint, key bigint, size bigint, pos bigint"
     dealt = docs.select(whole().alias("text")).mapInArrow(deal, "sig bigint, key bigint, size int, pos int")
@@ -130,6 +148,26 @@ def shared_signatures(docs: DataFrame, t: float = SIMILARITY, size: int = SHINGL
     return rows.filter((F.col("n") >= least) & (F.col("pos") <= own)).drop("n")
 
 
+def longer_signatures(signs: DataFrame, sets: DataFrame, counts: np.ndarray, shared: int, t: float) -> DataFrame:
+    """``signs`` with each signature replaced by those of one more shingle, ``shared`` in all, that comes later in the set's order."""
+    told = signs.sparkSession.sparkContext.broadcast(counts)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sig, at, tokens in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                s = rare_first(tokens.values.to_numpy().view(np.uint64), told.value)
+                start, stop = at["pos"].as_py() + 1, min(len(s), len(s) - math.ceil(t * len(s) - EPS) + shared)
+                more = s[start:stop] * np.uint64(0x9E3779B97F4A7C15) ^ np.array([sig], np.int64).view(np.uint64)
+                more = (more ^ more >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+                yield pa.record_batch([pa.array(more.view(np.int64)), pa.array([at.as_py()] * len(more), at.type), pa.array(np.arange(start, start + len(more)))],
+                                      names=["sig", "at", "later"])
+
+    held = signs.select("sig", "at", F.col("at.key").alias("key")).join(sets, "key").select("sig", "at", "tokens")
+    kind = signs.schema["at"].dataType.simpleString()
+    longer = held.mapInArrow(of, f"sig bigint, at {kind}, later bigint")
+    return longer.select("sig", F.col("at").withField("pos", F.col("later")).alias("at"))
+
+
 def whole_sets(docs: DataFrame, marked: DataFrame, keys: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(key, tokens) of the sets named in ``keys``, each from one document that holds it."""
 
@@ -151,50 +189,77 @@ def alike(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return both.filter(F.col("c") >= (F.col("n") - F.col("c")) * t - EPS).select("a", "b")
 
 
-def _can_reach(x: str, y: str, t: float) -> Column:
-    """Bounds on sizes, and on what can be shared from the places of a common signature on."""
+def _can_reach(x: str, y: str, t: float, shared: int) -> Column:
+    """Bounds on sizes, on what can be shared from the places of a common signature on, and on what differs."""
     xs, ys = F.col(f"{x}.size"), F.col(f"{y}.size")
-    rest = F.least(xs - F.col(f"{x}.pos"), ys - F.col(f"{y}.pos"))
-    return (xs >= ys * t - EPS) & (ys >= xs * t - EPS) & (rest >= (xs + ys) * (t / (1 + t)) - EPS)
+    rest = F.least(xs - F.col(f"{x}.pos"), ys - F.col(f"{y}.pos")) + (shared - 1)
+    apart = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITY), F.lit(0))
+    return ((xs >= ys * t - EPS) & (ys >= xs * t - EPS) & (rest >= (xs + ys) * (t / (1 + t)) - EPS)
+            & (apart <= (xs + ys) * ((1 - t) / (1 + t)) + EPS))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_components(docs: DataFrame, t: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+def near_components(docs: DataFrame, t: float = SIMILARITY, size: int = SHINGLE, calm: int = CALM) -> DataFrame:
     """(doc_id, kh, root) of every row: root is the same for rows that links of at least ``t`` connect.
 
     Null, empty and blank texts are alike. Extra columns are ignored; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     marked = cut_lineage(named_sets(docs, size))
-    signs = cut_lineage(shared_signatures(docs, t, size).select("sig", "key", F.struct("key", "size", "pos").alias("at")))
-    heads = signs.groupBy("sig").agg(F.min("at").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = cut_lineage(signs.join(heads, "sig"))
-    tokens = cut_lineage(whole_sets(docs, marked, shared.select("key").distinct(), size))
-
-    # first links: the head of each signature, and neighbours in the Gray index
-    star = shared.filter((F.col("key") != F.col("head.key")) & _can_reach("at", "head", t)).select(
-        F.col("head.key").alias("a"), F.col("key").alias("b"))
-    coded = cut_lineage(marked.join(tokens.select("key"), "key", "left_semi").select("key", "fp").distinct())
+    counts = bucket_counts(docs, size)
+    bits = marked.select("key", *PARITY).dropDuplicates(["key"])
+    signs = cut_lineage(shared_signatures(docs, counts, t, size).join(bits, "key").select("sig", F.struct("key", "size", "pos", *PARITY).alias("at")))
+    drop_shuffles(spark)
+    tokens = cut_lineage(whole_sets(docs, marked, signs.select("at.key").distinct(), size))
+
+    # neighbours in the Gray index
+    coded = marked.join(tokens.select("key"), "key", "left_semi").select("key", "fp").distinct()
     codes = cut_lineage(coded.groupBy("fp").agg(F.min("key").alias("first")))
     near = near_edges(codes, RADIUS).distinct()
     near = near.join(codes.toDF("a", "ka"), "a").join(codes.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     same = coded.join(codes, "fp").filter(F.col("key") != F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
-    tried = star.unionByName(near).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut_lineage(alike(tried, tokens, t))
-    joined = cut_lineage(connected_components(links).select(F.col("id").alias("key"), "component"))
-
-    # all others: what lies outside the largest component of a signature meets the rest of that signature
-    placed = shared.join(joined, "key", "left").select("sig", "at", F.coalesce("component", "key").alias("part"))
-    placed = cut_lineage(placed)
-    most = placed.groupBy("sig", "part").agg(F.count("*").alias("n")).groupBy("sig").agg(
-        F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    split = placed.join(most.select("sig", F.col("most.part").alias("most")), "sig")
-    outside = split.filter(F.col("part") != F.col("most")).select("sig", F.col("at").alias("x"), F.col("part").alias("px"))
-    every = split.select("sig", F.col("at").alias("y"), F.col("part").alias("py"))
-    rest = outside.join(every, "sig").filter((F.col("px") != F.col("py")) & _can_reach("x", "y", t)).select(
-        F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    found = cut_lineage(alike(rest.join(tried, ["a", "b"], "left_anti"), tokens, t))
-    if not found.isEmpty():
-        joined = connected_components(links.unionByName(found)).select(F.col("id").alias("key"), "component")
-    return marked.select("doc_id", "kh", "key").join(joined, "key", "left").select(
+    links = cut_lineage(alike(_ordered(near.unionByName(same)), tokens, t))
+    parts, turn, shared = None, 0, 1
+    while True:
+        # signatures whose sets are not all in one component yet
+        placed = signs.withColumn("part", F.col("at.key"))
+        if parts is not None:
+            placed = signs.join(parts, F.col("at.key") == F.col("key"), "left").select("sig", "at", F.coalesce("component", "at.key").alias("part"))
+        placed = cut_lineage(placed)
+        most = placed.groupBy("sig", "part").agg(F.count("*").alias("n")).groupBy("sig").agg(
+            F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).filter("parts > 1")
+        last = turn > TURNS * SHARED
+        quiet = (F.col("n") - F.col("most.n") <= calm) | F.lit(last)
+        open_ = cut_lineage(placed.join(most.select("sig", F.col("most.part").alias("most"), (quiet & F.lit(turn > 0)).alias("quiet")), "sig"))
+        # quiet ones: what lies outside the largest component meets all others; crowded ones: all meet a head
+        outside = open_.filter("quiet and part <> most").select("sig", F.col("at").alias("x"), F.col("part").alias("px"))
+        every = open_.filter("quiet").select("sig", F.col("at").alias("y"), F.col("part").alias("py"))
+        met = outside.join(every, "sig")
+        crowded = open_.filter("not quiet")
+        heads = crowded.groupBy("sig").agg(F.array_distinct(F.array(*(
+            F.min_by(F.struct("at", "part"), F.xxhash64(F.lit(turn * HEADS + i), "at.key")) for i in range(HEADS)))).alias("h"))
+        star = crowded.join(heads, "sig").select("sig", F.col("at").alias("x"), F.col("part").alias("px"), F.explode("h").alias("h")).select(
+            "sig", "x", "px", F.col("h.at").alias("y"), F.col("h.part").alias("py"))
+        tried = met.unionByName(star).filter((F.col("px") != F.col("py")) & _can_reach("x", "y", t, shared)).select(
+            F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        found = cut_lineage(alike(_ordered(tried), tokens, t))
+        drop_shuffles(spark)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+        if parts is None or not found.isEmpty():
+            parts = cut_lineage(connected_components(links).select(F.col("id").alias("key"), "component"))
+            drop_shuffles(spark)
+        signs = crowded.select("sig", "at")
+        if last or signs.isEmpty():
+            break
+        turn += 1
+        if turn % TURNS == 0 and shared < SHARED:
+            shared += 1
+            signs = cut_lineage(longer_signatures(signs, tokens, counts, shared, t))
+    return marked.select("doc_id", "kh", "key").join(parts, "key", "left").select(
         "doc_id", "kh", F.coalesce("component", "key").alias("root"))
 
 
