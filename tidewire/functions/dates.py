@@ -47,8 +47,16 @@ def fresh_for_feed(
     return F.coalesce((published > now(as_of)) | (published > cut), F.lit(True))
 
 
+def whole_seconds(first: Column, last: Column) -> Column:
+    """Seconds between the whole seconds two times lie in: parts of a second count at neither end."""
+    def second(time: Column) -> Column:
+        return F.floor(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), time) / 1_000_000)
+
+    return second(last) - second(first)
+
+
 def freshness_class(published: Column, as_of: datetime) -> Column:
-    age = F.timestamp_diff("SECOND", published, now(as_of))
+    age = whole_seconds(published, now(as_of))
     ladder = F.when(published.isNull(), "unknown_date")
     for name, hours in FRESHNESS_HOURS:
         ladder = ladder.when(age <= hours * 3600, name)
@@ -70,7 +78,7 @@ def parse_publish_date(raw: Column) -> Column:
 
 def span_label(first: Column, last: Column) -> Column:
     """Today / n days / n weeks / n months between two times."""
-    days = F.timestamp_diff("DAY", first, last)
+    days = F.floor(whole_seconds(first, last) / 86_400)
     return (
         F.when(days < 1, F.lit("today"))
         .when(days < 7, F.concat(days.cast("string"), F.lit(" days")))
