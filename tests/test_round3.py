@@ -19,3 +19,12 @@ def test_freshness_counts_whole_seconds_of_both_times(spark, before, want):
 def test_span_counts_whole_seconds_of_both_times(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, 0, 900_000), datetime(2024, 1, 2, 0, 0, 0, 100_000))], "a timestamp_ntz, b timestamp_ntz")
     assert df.select(dates.span_label(F.col("a"), F.col("b")).alias("y")).first().y == "1 days"
+
+
+def test_rows_alike_in_time_and_url_are_taken_by_the_tie_columns(spark):
+    from tidewire.sources import feeds
+
+    rows = spark.createDataFrame([(i, "u", AS_OF) for i in range(400)], "id bigint, url string, published_at timestamp_ntz")
+    for seed in (1, 2, 3):
+        got = feeds.discover({"a": rows.repartition(7).orderBy(F.rand(seed))}, 5, ["id"]).select("id").collect()
+        assert sorted(r.id for r in got) == [0, 1, 2, 3, 4]

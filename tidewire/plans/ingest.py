@@ -99,7 +99,7 @@ def _(t):
 SELECT provider, id FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY published_at DESC NULLS LAST, url, id) AS r FROM u) WHERE r <= 50""")
 def _(t):
     art = articles(t).select("id", "url", "published_at", "language")
-    both = feeds.discover({"a": art.filter("language = 'en'"), "b": art.filter("language <> 'en'")}, 50)
+    both = feeds.discover({"a": art.filter("language = 'en'"), "b": art.filter("language <> 'en'")}, 50, ["id"])
     return both.select("provider", "id")
 
 

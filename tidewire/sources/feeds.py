@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,13 +119,13 @@ def parse_search(docs: DataFrame, body: str, base_url: str) -> DataFrame:
         tx.strip_tags(F.col("s.snippet")).alias("summary"), F.col("s.timestamp").try_cast("timestamp").alias("published_at"))
 
 
-def discover(providers: dict[str, DataFrame], per_provider: int = 50) -> DataFrame:
-    """Union of provider frames, newest ``per_provider`` of each."""
+def discover(providers: dict[str, DataFrame], per_provider: int = 50, ties: Sequence[str] = ()) -> DataFrame:
+    """Union of provider frames, newest ``per_provider`` of each. Rows alike in time and URL are ordered by the columns ``ties``."""
     out = None
     for name, df in providers.items():
         part = df.withColumn("provider", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return top_per_key(out, ["provider"], [F.desc_nulls_last("published_at"), F.asc("url")], per_provider)
+    return top_per_key(out, ["provider"], [F.desc_nulls_last("published_at"), F.asc("url"), *map(F.asc, ties)], per_provider)
 
 
 def repaired(df: DataFrame, as_of, default_source: str = "exclusive") -> DataFrame:
