@@ -28,3 +28,15 @@ def test_rows_alike_in_time_and_url_are_taken_by_the_tie_columns(spark):
     for seed in (1, 2, 3):
         got = feeds.discover({"a": rows.repartition(7).orderBy(F.rand(seed))}, 5, ["id"]).select("id").collect()
         assert sorted(r.id for r in got) == [0, 1, 2, 3, 4]
+
+
+def test_names_meet_a_long_list_of_keys(spark):
+    """The list was refused beyond 4 MB, and every name met every key."""
+    from tidewire.operators import geo
+
+    listed = spark.range(120_000).select(F.concat(F.lit("key number "), "id", F.lit(" of a long list of names")).alias("key"), F.col("id").cast("string").alias("canonical"))
+    known = listed.union(spark.createDataFrame([("Blue", "b"), ("blue SKY", "s"), ("blue", "other"), ("tie1", "t1"), ("tie0", "t0")], "key string, canonical string"))
+    names = spark.createDataFrame([("a blue sky over",), ("BLUE",), ("tie0 tie1",), ("key number 77 of",), ("nothing",), (None,)], "name string")
+    got = {r.name: r.canonical for r in geo.canonical_names(names, "name", known).collect()}
+    assert got == {"a blue sky over": "s", "BLUE": "b", "tie0 tie1": "t0", "key number 77 of": "77", "nothing": None, None: None}
+    assert geo.canonical_names(names, "name", known).count() == 6

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import haversine_km
@@ -36,12 +36,33 @@ def reused_images(df: DataFrame, image: str) -> DataFrame:
     return df.join(shared, image)
 
 
-def canonical_names(names: DataFrame, name: str, known: DataFrame) -> DataFrame:
-    """Canonical form of names: an equal known key first, else the longest key that contains or is contained in the name."""
-    exact = names.join(known.select(F.lower("key").alias("__low"), F.col("canonical").alias("__exact")), F.lower(F.col(name)) == F.col("__low"), "left").drop("__low")
-    listed = exact.crossJoin(F.broadcast(_as_list(known, (-F.length("key")).alias("n"), "key", "canonical")))
-    low = F.lower(F.col(name))
-    close = F.filter("__list", lambda k: low.contains(F.lower(k["key"])) | F.lower(k["key"]).contains(low))
-    return listed.select(*names.columns, F.coalesce("__exact", F.get(close, F.lit(0))["canonical"]).alias("canonical"))
+def _parts(text: Column, lengths: Column) -> Column:
+    """Distinct substrings of a text that have one of the given lengths."""
+    fitting = F.filter(lengths, lambda n: n <= F.length(text))
+    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substring(text, at, n)))))
+
+
+def _holding(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(text, part) of the distinct texts (column text) and parts (column part) where the text holds the part.
 
+    Texts are cut into substrings of the lengths that occur among the parts, and the two are joined on equal strings, so
+    no text meets all parts.
+    """
+    lengths = parts.agg(F.sort_array(F.collect_set(F.length("part"))).alias("lengths"))
+    cut = texts.crossJoin(F.broadcast(lengths)).select("text", F.explode(_parts(F.col("text"), F.col("lengths"))).alias("part"))
+    return cut.join(parts, "part").select("text", "part")
 
+
+def canonical_names(names: DataFrame, name: str, known: DataFrame) -> DataFrame:
+    """Canonical form of names: an equal known key first, else the longest key that contains or is contained in the name."""
+    keyed = known.groupBy(F.lower("key").alias("__key")).agg(
+        F.min(F.struct((-F.length("key")).alias("n"), "key", "canonical")).alias("first")).filter("__key IS NOT NULL")
+    texts = names.select(F.lower(F.col(name)).alias("__low")).filter("__low IS NOT NULL").distinct()
+    said, keys = texts.select(F.col("__low").alias("text")), keyed.select(F.col("__key").alias("part"))
+    inside = _holding(said, keys).select(F.col("text").alias("__low"), F.col("part").alias("__key"))
+    around = _holding(keys.toDF("text"), said.toDF("part")).select(F.col("part").alias("__low"), F.col("text").alias("__key"))
+    order = F.struct((F.col("__key") != F.col("__low")).alias("other"), "first")
+    best = inside.unionByName(around).join(keyed, "__key").groupBy("__low").agg(F.min(order).alias("__best"))
+    return names.withColumn("__low", F.lower(F.col(name))).join(best, "__low", "left").select(
+        *names.columns, F.col("__best.first.canonical").alias("canonical"))
