@@ -40,3 +40,38 @@ def test_names_meet_a_long_list_of_keys(spark):
     got = {r.name: r.canonical for r in geo.canonical_names(names, "name", known).collect()}
     assert got == {"a blue sky over": "s", "BLUE": "b", "tie0 tie1": "t0", "key number 77 of": "77", "nothing": None, None: None}
     assert geo.canonical_names(names, "name", known).count() == 6
+
+
+@pytest.mark.parametrize("cosine,t", [(True, 0.55), (True, 0.2), (False, 0.3), (False, 0.85)])
+def test_block_join_equals_brute_force_and_holds_no_candidates(spark, monkeypatch, cosine, t):
+    """What leaves the join is what reaches the threshold; frequent terms made billions of partial products."""
+    import random
+
+    from tidewire.operators import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK", 300)
+    rng, rows = random.Random(9), []
+    for i in range(200):
+        terms = sorted({int(rng.random() ** 2 * 60) for _ in range(rng.randint(0, 15))} | ({0, 1, 2, 3, 4} if i % 5 == 0 else set()))
+        raw = [float(rng.randint(1, 9)) if cosine else 1.0 for _ in terms]
+        z = sum(w * w for w in raw) ** 0.5 if cosine else 1.0
+        rows.append((f"r{i}", terms, [w / z for w in raw]))
+    df = spark.createDataFrame(rows, "id string, codes array<bigint>, weights array<double>").repartition(5)
+    got = {(min(r.a, r.b), max(r.a, r.b)): round(r.similarity, 9) for r in blocks.similar(df, t, cosine).collect()}
+    assert len(got) == blocks.similar(df, t, cosine).count()
+
+    def value(x, y):
+        shared = sum(w * dict(zip(*y)).get(c, 0.0) for c, w in zip(*x))
+        return shared if cosine else shared / max(len(x[0]) + len(y[0]) - shared, 1)
+
+    want = {}
+    for i, (a, *x) in enumerate(rows):
+        for b, *y in rows[:i]:
+            if x[0] and y[0] and value(x, y) >= t - 1e-9:
+                want[(min(a, b), max(a, b))] = round(value(x, y), 9)
+    assert got == want and want
+    if not cosine:
+        odd = F.substring("id", 2, 9).cast("int") % 2 == 1
+        got = {(r.a, r.b): round(r.similarity, 9) for r in blocks.between(df.filter(odd), df.filter(~odd), t).collect()}
+        pairs = {(a, b): s for p, s in want.items() for a, b in (p, p[::-1])}
+        assert got == {(a, b): s for (a, b), s in pairs.items() if int(a[1:]) % 2 == 1 and int(b[1:]) % 2 == 0}
