@@ -75,3 +75,17 @@ def test_block_join_equals_brute_force_and_holds_no_candidates(spark, monkeypatc
         got = {(r.a, r.b): round(r.similarity, 9) for r in blocks.between(df.filter(odd), df.filter(~odd), t).collect()}
         pairs = {(a, b): s for p, s in want.items() for a, b in (p, p[::-1])}
         assert got == {(a, b): s for (a, b), s in pairs.items() if int(a[1:]) % 2 == 1 and int(b[1:]) % 2 == 0}
+
+
+def test_long_sets_make_no_candidates(spark, monkeypatch):
+    """Pairs of long sets came from signatures, and each candidate carried both sets."""
+    from tidewire.operators import simjoin
+
+    def refuse(*_):
+        raise AssertionError("candidates of long sets")
+
+    monkeypatch.setattr(simjoin, "verify", refuse)
+    rows = [(i, [f"w{j}" for j in range(i % 3, 40)] + [f"x{i}"]) for i in range(12)]
+    got = {(r.id_a, r.id_b) for r in simjoin.jaccard_pairs(spark.createDataFrame(rows, "id bigint, w array<string>"), "id", "w", 0.9).collect()}
+    assert got == {(i, j) for i in range(12) for j in range(i + 1, 12) if abs(i % 3 - j % 3) <= 2 and
+                   len(set(rows[i][1]) & set(rows[j][1])) / len(set(rows[i][1]) | set(rows[j][1])) >= 0.9}
