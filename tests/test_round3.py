@@ -89,3 +89,29 @@ def test_long_sets_make_no_candidates(spark, monkeypatch):
     got = {(r.id_a, r.id_b) for r in simjoin.jaccard_pairs(spark.createDataFrame(rows, "id bigint, w array<string>"), "id", "w", 0.9).collect()}
     assert got == {(i, j) for i in range(12) for j in range(i + 1, 12) if abs(i % 3 - j % 3) <= 2 and
                    len(set(rows[i][1]) & set(rows[j][1])) / len(set(rows[i][1]) | set(rows[j][1])) >= 0.9}
+
+
+@pytest.mark.parametrize("scope", [None, "c"])
+def test_leaders_of_long_sets_equal_the_pass_with_and_without_a_scope(spark, monkeypatch, scope):
+    """No candidate of the signatures is written out, chains of followers are settled, and scopes stay apart."""
+    import random
+
+    from tidewire.operators import blocks, graph, simjoin
+
+    def refuse(*_):
+        raise AssertionError("candidates of long sets")
+
+    monkeypatch.setattr(simjoin, "verify", refuse)
+    monkeypatch.setattr(blocks, "BLOCK", 400)
+    rng, rows = random.Random(3), []
+    for i in range(150):
+        c, at = i % 3, rng.randrange(40)
+        rows.append((i, c, [f"{c if scope else 0}-{k}" for k in range(at, at + 12)]))
+    df = spark.createDataFrame(rows, "id bigint, c int, w array<string>")
+    got = {r.id: r.leader for r in graph.set_leaders(df, "id", "w", 0.6, scope=scope).collect()}
+    leaders, want = [], {}
+    for i, _, w in rows:
+        want[i] = next((j for j, v in leaders if len(set(w) & set(v)) / len(set(w) | set(v)) >= 0.6 - 1e-9), i)
+        if want[i] == i:
+            leaders.append((i, w))
+    assert got == want
