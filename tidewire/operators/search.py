@@ -46,8 +46,10 @@ def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def grams(text: Column) -> Column:
     """Distinct runs of three characters of the lower-cased text."""
-    low = F.lower(text)
-    return tx.let(low, lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, 3))))
+    # the characters are split off once: a substring by position would count from the start of the text each time
+    chars = F.split(F.lower(text), "")
+    return tx.let(chars, lambda cs: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(cs) - 2, F.lit(1))), lambda i: F.concat(
+        F.get(cs, i - 1), F.coalesce(F.get(cs, i), F.lit("")), F.coalesce(F.get(cs, i + 1), F.lit(""))))))
 
 
 def gram_index(articles: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
