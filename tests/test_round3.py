@@ -115,3 +115,14 @@ def test_leaders_of_long_sets_equal_the_pass_with_and_without_a_scope(spark, mon
         if want[i] == i:
             leaders.append((i, w))
     assert got == want
+
+
+def test_grams_are_not_cut_out_by_position(spark):
+    """A substring by position counts from the start of the text, so a long text took time with its square."""
+    from tidewire.operators import search
+
+    assert "substring" not in str(search.grams(F.col("x")))
+    texts = ["é𝔸b" * 20 + "end", "ab", "", "Ça"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, x string")
+    got = {r.id: sorted(r.g) for r in df.select("id", search.grams(F.col("x")).alias("g")).collect()}
+    assert got == {i: sorted({x.lower()[k:k + 3] for k in range(max(len(x) - 2, 1))}) for i, x in enumerate(texts)}
