@@ -32,9 +32,9 @@ class Counter:
         self.encode = tokens.encoder(path, ranks)
         self.known: dict[str, int] = {}
 
-    def pieces(self, text: str) -> list[tuple[int, int]]:
-        """(characters, tokens) of each pre-token. A text on which splitters may differ is one piece."""
-        if not tokens.plain(text):
+    def pieces(self, text: str, plain: bool | None = None) -> list[tuple[int, int]]:
+        """(characters, tokens) of each pre-token. A text on which splitters may differ is one piece; ``plain`` if that is known."""
+        if not (tokens.plain(text) if plain is None else plain):
             return [(len(text), len(self.encode(text)))] if text else []
         out, known = [], self.known
         for piece in _SPLIT.findall(text):
@@ -53,7 +53,7 @@ class TokenTree:
     def __init__(self, text: str, counter: Counter):
         self.text, self.counter, self.reencoded = text, counter, 0
         self.plain = tokens.plain(text)
-        pieces = counter.pieces(text)
+        pieces = counter.pieces(text, self.plain)
         self.leaves = [pieces[i:i + LEAF] for i in range(0, len(pieces), LEAF)]
         self._grow()
 
