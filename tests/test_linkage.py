@@ -131,3 +131,25 @@ def test_average_link_of_nothing(spark):
     assert sorted(map(tuple, linkage.average_link(points, none, 0.3, 0.2, lambda p: none).collect())) == [(1, 1), (2, 2)]
     with pytest.raises(ValueError):
         linkage.average_link(points, none, 0.3, 0.3, lambda p: none)
+
+
+def test_rounds_do_not_add_up_on_disk(spark, monkeypatch):
+    """Of the pairs and members of a round only the last are left, however many rounds there are."""
+    made, settle = [], linkage.settled
+
+    def noted(df):
+        made.append(settle(df))
+        return made[-1]
+
+    monkeypatch.setattr(linkage, "settled", noted)
+    points = spark.range(16).select("id", F.lit(1).alias("n"))
+    # a chain whose links weaken: one merge after the other
+    known = spark.createDataFrame([(i, j, round((0.9 - 0.01 * j) * linkage.SCALE)) for i in range(16) for j in range(i + 1, 16)], "a bigint, b bigint, s bigint")
+    got = linkage.average_link(points, known, 0.5, 0.4, lambda pairs: pairs.selectExpr("a", "b", "cast(0 as bigint) as s"))
+    assert got.select("cluster").distinct().count() == 1
+
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    assert len(made) > 12 and sum(map(there, made)) <= 4
