@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidewire.functions import scores as sc
+from tidewire.operators import corpus as cp
+from tidewire.operators import extraction as ex
 
 
 def plan_of(df) -> str:
@@ -15,3 +17,9 @@ def test_a_text_is_scanned_once_for_its_category(spark):
     for label in (sc.keyword_category, sc.flag_category, sc.weighted_share_category):
         out = df.select("id", label(hits).alias("c")).select("id", "c.category", F.round("c.confidence", 6).alias("confidence"))
         assert plan_of(out).count("lower(content") == 1, label
+
+
+def test_no_regular_expression_runs_per_word_of_a_sentiment(spark):
+    df = spark.createDataFrame([("Not a win, but growth! لا فوز",), ("لم ينجح",), (None,)], "content string")
+    out = df.select(sc.sentiment_negated(F.col("content")).alias("s"))
+    assert "regexp_replace(lambda" not in plan_of(out)
