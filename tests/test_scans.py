@@ -23,3 +23,11 @@ def test_no_regular_expression_runs_per_word_of_a_sentiment(spark):
     df = spark.createDataFrame([("Not a win, but growth! لا فوز",), ("لم ينجح",), (None,)], "content string")
     out = df.select(sc.sentiment_negated(F.col("content")).alias("s"))
     assert "regexp_replace(lambda" not in plan_of(out)
+
+
+def test_counting_sorts_without_an_interpreted_comparator(spark):
+    df = spark.createDataFrame([("b a, bbًب الكتاب والكتاب b",)], "content string")
+    c = F.col("content")
+    out = df.select(F.inline(cp.term_vector(F.lit("title"), F.lit(""), c, None)))
+    assert "array_sort" not in plan_of(out)
+    assert {r.term for r in out.collect()} == {"title", "bbب", "الكتاب", "كتاب", "والكتاب"}
