@@ -31,3 +31,12 @@ def test_counting_sorts_without_an_interpreted_comparator(spark):
     out = df.select(F.inline(cp.term_vector(F.lit("title"), F.lit(""), c, None)))
     assert "array_sort" not in plan_of(out)
     assert {r.term for r in out.collect()} == {"title", "bbب", "الكتاب", "كتاب", "والكتاب"}
+
+
+def test_texts_are_not_split_below_the_shuffle_that_spreads_them(spark):
+    df = spark.createDataFrame([(1, "c", "word word other")], "id long, cluster string, content string").repartition(4)
+    flat = df.select("cluster", ex.keywords(F.col("content"), 3).alias("keywords"))
+    sentences = df.select("cluster", "id", "content")
+    for out in (cp.merged_terms(flat, "cluster", "keywords"), cp.cluster_sentences(sentences, "cluster", F.col("id"), F.col("content"), 1, 9)):
+        assert "split(" not in plan_of(out).split("Repartition")[1]
+        assert out.count()
