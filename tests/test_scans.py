@@ -40,3 +40,10 @@ def test_texts_are_not_split_below_the_shuffle_that_spreads_them(spark):
     for out in (cp.merged_terms(flat, "cluster", "keywords"), cp.cluster_sentences(sentences, "cluster", F.col("id"), F.col("content"), 1, 9)):
         assert "split(" not in plan_of(out).split("Repartition")[1]
         assert out.count()
+
+
+def test_exact_repeats_of_sentences_need_no_word_sets(spark):
+    text = "One sentence here. Another sentence there.  One  sentence here. A third one is there. another sentence there."
+    out = spark.createDataFrame([(text,), ("",), (None,)], "content string").select(cp.distinct_sentences(F.col("content")).alias("s"))
+    assert "translate(" not in plan_of(out)
+    assert [r.s for r in out.collect()] == [["One sentence here.", "Another sentence there.", "A third one is there."], [], None]
