@@ -36,3 +36,17 @@ def test_texts_are_tokenised_once_however_many_phrases_are_asked(spark):
     asked = spark.createDataFrame([(f"word{i} other{i} third",) for i in range(20)], "phrase string")
     plan = search.phrase_hits(search.segment(rows), asked.withColumn("phrase", F.col("phrase")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode") <= 2 and "Cartesian" not in plan
+
+
+def test_places_of_words_are_not_shuffled(spark, monkeypatch):
+    rows = [(i, "b a b. c " * 50, None, "the end of the end", "") for i in range(20)]
+    articles = spark.createDataFrame(rows + rows[:1], "id long, title string, summary string, content string, keywords string")
+    index = search.segment(articles)
+    assert "Aggregate" not in index._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.token, tuple(r.positions)) for r in index.filter("id = 3 and field = 'content'").collect()} == {
+        ("the", (0, 3)), ("end", (1, 4)), ("of", (2,))}
+    phrases = spark.createDataFrame([("b a b",), ("a b b",), ("b c b a",), ("END of the",), ("end end",), ("b",), ("...",)], "phrase string")
+    hits = {(r.phrase, r.id) for r in search.phrase_hits(index, phrases).collect()}
+    assert hits == {(p, i) for p in ("b a b", "b c b a", "END of the", "b") for i in range(20)}
+    monkeypatch.setattr(search, "FEW", 0)
+    assert {(r.phrase, r.id) for r in search.phrase_hits(index, phrases).collect()} == hits

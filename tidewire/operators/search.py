@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as tx
+from tidewire.session import cut_lineage
 
+#: Words of phrases that are sent to all tasks; more of them are joined by a shuffle.
+FEW = 20_000
 FIELDS = ("title", "summary", "content", "keywords")
 
 
@@ -18,10 +21,25 @@ def _stacked(articles: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def segment(articles: DataFrame, number: int = 0, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """(segment, token, id, field, positions): where each word of an article stands. A null field has no words."""
-    flat = _stacked(articles, fields).select("id", "field", F.posexplode(tx.tokens(F.col("said"), 1)).alias("pos", "token"))
-    return flat.groupBy("token", "id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select(
-        F.lit(number).alias("segment"), "token", "id", "field", "positions")
+    """(segment, token, id, field, positions): where each word of an article stands. A null field has no words.
+
+    Words are sorted with their places inside the row, nothing is shuffled; an article that comes twice has its postings twice.
+    """
+    flat = _stacked(articles, fields).select("id", "field", F.inline(postings(tx.tokens(F.col("said"), 1))))
+    return flat.select(F.lit(number).alias("segment"), "token", "id", "field", "positions")
+
+
+def postings(words: Column) -> Column:
+    """Array of (token, positions) of the distinct words."""
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("token"), i.alias("pos"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda p, i: F.when((i == 0) | (p["token"] != F.get(s, i - 1)["token"]), i)), lambda i: i.isNotNull())
+        return tx.let(starts, lambda st: F.transform(st, lambda i, j: F.struct(
+            F.get(s, i)["token"].alias("token"),
+            F.transform(F.slice(s, i + 1, F.coalesce(F.get(st, j + 1), F.size(s)) - i), lambda p: p["pos"]).alias("positions"))))
+
+    return tx.let(placed, runs)
 
 
 def merged(*segments: DataFrame) -> DataFrame:
@@ -35,13 +53,22 @@ def phrase_hits(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase, id) of articles that hold the words of a phrase next to each other, in order, in one field.
 
     All ``phrases`` (column phrase) are looked up at once: each posting of a word says where the phrase would begin, and
-    a beginning that all words agree on is a hit. A phrase without words has no hits.
+    a beginning that all words agree on is a hit. One row per posting is shuffled, not one per place; a phrase of one
+    word needs only the posting. A phrase without words has no hits.
     """
     words = phrases.select("phrase").distinct().select("phrase", tx.tokens(F.col("phrase"), 1).alias("w"))
-    asked = words.select("phrase", F.size("w").alias("n"), F.posexplode("w").alias("offset", "token"))
-    met = index.join(asked, "token").select("phrase", "n", "id", "field", "offset", F.explode("positions").alias("pos"))
-    starts = met.groupBy("phrase", "n", "id", "field", (F.col("pos") - F.col("offset")).alias("start")).agg(F.count("*").alias("agree"))
-    return starts.filter(F.col("agree") == F.col("n")).select("phrase", "id").distinct()
+    asked = cut_lineage(words.select("phrase", F.size("w").alias("n"), F.posexplode("w").alias("offset", "token")))
+    if asked.count() <= FEW:
+        asked = F.broadcast(asked)
+    met = index.join(asked, "token").select(
+        "phrase", "n", "id", "field", "offset", F.when(F.col("n") > 1, F.transform("positions", lambda p: p - F.col("offset"))).alias("starts"))
+    by_word = met.groupBy("phrase", "n", "id", "field").agg(F.collect_list(F.struct("offset", "starts")).alias("held"))
+
+    def of(offset: Column) -> Column:
+        return F.flatten(F.transform(F.filter("held", lambda h: h["offset"] == offset), lambda h: h["starts"]))
+
+    agreed = F.aggregate(F.sequence(F.lit(1), F.col("n") - 1), of(F.lit(0)), lambda left, offset: F.array_intersect(left, of(offset)))
+    return by_word.filter(F.when(F.col("n") > 1, F.size(agreed) > 0).otherwise(True)).select("phrase", "id").distinct()
 
 
 def grams(text: Column) -> Column:
