@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewire.functions import bags
-from tidewire.operators import corpus
+from tidewire.operators import corpus, simjoin
 
 
 def test_first_member_without_words_is_like_no_other(spark):
@@ -19,3 +19,22 @@ def test_first_member_without_words_is_like_no_other(spark):
 def test_a_word_seen_very_often_does_not_overflow(spark):
     df = spark.createDataFrame([([("w", 50_000)],)], "x array<struct<term:string,n:int>>")
     assert df.select(bags.unit_weights(F.col("x"))[0]["weight"]).first()[0] == 1.0
+
+
+def test_dense_pairs_end_at_the_threshold(spark):
+    def at(cosine):
+        return [cosine, math.sqrt(1 - cosine * cosine)]
+
+    rows = [(0, [1.0, 0.0]), (1, at(0.35 - 4e-10)), (2, at(0.35 + 4e-10)), (3, [0.35, -math.sqrt(1 - 0.35 ** 2)])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    near = [0.35 - 4e-10, 0.35 + 4e-10]
+    got = {(r.id_a, r.id_b) for r in simjoin.dense_cosine_pairs(df, "id", "v", 0.35).collect()}
+    assert (0, 2) in got and (0, 1) not in got and near[0] < 0.35 < near[1]
+
+
+def test_dense_pairs_of_rows_hold_every_copy(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0]), (4, [0.0, 1.0]), (5, [3.0, 3.0]), (6, [1.0, 0.0]), (7, [-1.0, 0.0]), (8, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    got = sorted((r.id_a, r.id_b) for r in simjoin.dense_row_pairs(df, "id", "v", 0.5).collect())
+    alike = lambda x, y: x[0] * y[0] + x[1] * y[1] >= 0.5 * math.hypot(*x) * math.hypot(*y)
+    assert got == sorted((a, b) for a, x in rows for b, y in rows if a < b < 8 and alike(x, y))
