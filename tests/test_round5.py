@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidewire.functions import bags
-from tidewire.operators import corpus, simjoin
+from tidewire.operators import corpus, search, simjoin
 
 
 def test_first_member_without_words_is_like_no_other(spark):
@@ -38,3 +38,16 @@ def test_dense_pairs_of_rows_hold_every_copy(spark):
     got = sorted((r.id_a, r.id_b) for r in simjoin.dense_row_pairs(df, "id", "v", 0.5).collect())
     alike = lambda x, y: x[0] * y[0] + x[1] * y[1] >= 0.5 * math.hypot(*x) * math.hypot(*y)
     assert got == sorted((a, b) for a, x in rows for b, y in rows if a < b < 8 and alike(x, y))
+
+
+def test_a_few_needles_need_no_index(spark, monkeypatch):
+    rows = [(1, "Tax news", None, "The TAXI waits", "a"), (2, "", "x", "Ça va", None), (3, None, None, None, None), (4, "ab", "é", "abc", "tax"), (1, "again", "", "taxi", "")]
+    df = spark.createDataFrame(rows, "id bigint, title string, summary string, content string, keywords string")
+    asked = spark.createDataFrame([(n,) for n in ("tax", "TAXI", "é", "ça", "a", "bc", "", "nowhere", "tax")], "needle string")
+    found = search.substring_hits(search.gram_index(df), df, asked)
+    assert "sequence" not in found._jdf.queryExecution().optimizedPlan().toString()  # no runs of characters
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted({(n, r[0]) for (n,) in asked.collect() if n for r in rows for s in r[1:] if s and n.lower() in s.lower()})
+    monkeypatch.setattr(search, "FEW_NEEDLES", 2)
+    assert sorted(map(tuple, search.substring_hits(search.gram_index(df), df, asked).collect())) == got
+    assert search.substring_hits(search.gram_index(df), df, asked.limit(0)).collect() == []

@@ -13,6 +13,8 @@ from tidewire.session import cut_lineage
 
 #: Words of phrases that are sent to all tasks; more of them are joined by a shuffle.
 FEW = 20_000
+#: Needles that are looked for in every text; more of them go through the index.
+FEW_NEEDLES = 64
 FIELDS = ("title", "summary", "content", "keywords")
 
 
@@ -87,16 +89,32 @@ def gram_index(articles: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame
 def substring_hits(index: DataFrame, articles: DataFrame, needles: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     """(needle, id) of articles with the needle (column needle) in a field, without regard to case.
 
-    The index leaves only fields that hold all runs of three characters of a needle; these alone are read. Needles of one
-    or two characters are looked for inside the runs, which hold every character of a longer field and all of a shorter
-    one. An empty needle has no hits.
+    A few needles are looked for while the texts are read once; the index is then not built. For more of them the index
+    leaves only fields that hold all runs of three characters of a needle; these alone are read. Needles of one or two
+    characters are looked for inside the runs, which hold every character of a longer field and all of a shorter one. An
+    empty needle has no hits.
     """
-    asked = needles.select("needle").filter("needle <> ''").distinct().withColumn("runs", grams(F.col("needle")))
+    asked = needles.select("needle").filter("needle <> ''").distinct()
+    few = [r.needle for r in asked.limit(FEW_NEEDLES + 1).collect()]
+    if len(few) <= FEW_NEEDLES:
+        return _scanned(articles, few, fields)
+    asked = asked.withColumn("runs", grams(F.col("needle")))
     long = asked.filter(F.char_length("needle") >= 3).select("needle", F.size("runs").alias("n"), F.explode("runs").alias("gram"))
-    found = index.join(long, "gram").groupBy("needle", "n", "id", "field").agg(F.count("*").alias("held")).filter(F.col("held") == F.col("n"))
+    found = index.join(long, "gram").groupBy("needle", "n", "id", "field").agg(F.count("*").alias("held")).filter(F.col("held") >= F.col("n"))  # an id may come twice
     texts = _stacked(articles, fields)
     sure = found.select("needle", "id", "field").join(texts, ["id", "field"]).filter(F.lower("said").contains(F.lower("needle")))
     short = asked.filter(F.char_length("needle") < 3).select(F.lower("needle").alias("low"), "needle")
     parts = F.array_distinct(F.array(*(F.substring("gram", at, n) for at, n in ((1, 1), (2, 1), (3, 1), (1, 2), (2, 2)))))
     ends = index.select("gram").distinct().select("gram", F.explode(parts).alias("low")).join(short, "low").select("needle", "gram").distinct()
     return sure.select("needle", "id").unionByName(index.join(ends, "gram").select("needle", "id")).distinct()
+
+
+def _scanned(articles: DataFrame, needles: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """``substring_hits`` without an index: the fields of an article are lowered once and looked through for each needle."""
+    asked = F.array(*(F.struct(F.lit(n).alias("needle"), F.lower(F.lit(n)).alias("low")) for n in needles))
+    said = F.filter(F.array(*(F.lower(F.col(f)) for f in fields)), lambda s: s.isNotNull())
+    held = tx.let(said, lambda ss: F.filter(asked, lambda n: F.exists(ss, lambda s: s.contains(n["low"]))))
+    if not needles:
+        return articles.select(F.lit("").alias("needle"), "id").limit(0)
+    # not an inner explode: its filter would be moved below the shuffle that spreads the articles
+    return articles.select("id", F.explode_outer(held).alias("hit")).filter("hit is not null").select("hit.needle", "id").distinct()
