@@ -4,8 +4,9 @@ import math
 
 from pyspark.sql import functions as F
 
+from test_signals import articles
 from tidewire.functions import bags
-from tidewire.operators import corpus, search, simjoin
+from tidewire.operators import blocks, corpus, search, signals, simjoin
 
 
 def test_first_member_without_words_is_like_no_other(spark):
@@ -51,3 +52,30 @@ def test_a_few_needles_need_no_index(spark, monkeypatch):
     monkeypatch.setattr(search, "FEW_NEEDLES", 2)
     assert sorted(map(tuple, search.substring_hits(search.gram_index(df), df, asked).collect())) == got
     assert search.substring_hits(search.gram_index(df), df, asked.limit(0)).collect() == []
+
+
+def test_blocks_meet_once_in_any_number_of_passes(spark, monkeypatch):
+    for n in (1, 2, 4, 7):
+        every = [d for some in blocks.passes(n, 10) for d in some]
+        met = [{b, (b + d) % n} for b in range(n) for d in every]
+        assert sorted(every) == list(range(n // 2 + 1)) and {frozenset(m) for m in met} == {frozenset((a, b)) for a in range(n) for b in range(n)}
+    df = articles(spark, 11, 120)
+    rows = signals.coded(df, corpus.category_peers).cache()
+    sets = rows.select("id", F.col("keywords").alias("codes"))
+    keep = lambda found: found.select("a", "b")
+    one = sorted(map(tuple, signals.pairs(rows, corpus.CombinedAbove(0.25)).select("a", "b").collect()))
+    some = sorted((min(r), max(r)) for r in blocks.similar(sets, 0.4, False).select("a", "b").collect())
+    monkeypatch.setattr(blocks, "AT_ONCE", 1)
+    parts = signals.pairs(rows, corpus.CombinedAbove(0.25), 5, keep)
+    assert len({f.rsplit("/", 1)[0] for f in parts.inputFiles()}) == 3  # each pass was written
+    assert sorted(map(tuple, parts.collect())) == one
+    assert sorted((min(r), max(r)) for r in blocks.similar(sets, 0.4, False).select("a", "b").collect()) == some
+
+
+def test_vectors_are_weighed_in_shares(spark, monkeypatch):
+    rows = [(i, [(f"t{j}", 1.0 + j) for j in range(1, 9) if i % j == 0]) for i in range(60)] + [(60, []), (61, None)]
+    df = spark.createDataFrame(rows, "id bigint, terms array<struct<term:string,weight:double>>")
+    flat = lambda out: {(r.id, r.term, round(r.weight, 12)) for r in out.select("id", F.inline_outer("terms")).fillna(0.0).collect()}
+    one = flat(corpus.idf_weighted(df))
+    monkeypatch.setattr(corpus, "WEIGHED", 50)
+    assert flat(corpus.idf_weighted(df)) == one and len(one) > 100
