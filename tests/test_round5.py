@@ -72,6 +72,24 @@ def test_blocks_meet_once_in_any_number_of_passes(spark, monkeypatch):
     assert sorted((min(r), max(r)) for r in blocks.similar(sets, 0.4, False).select("a", "b").collect()) == some
 
 
+def test_leaders_by_earliest_neighbours_equal_those_of_all_edges(spark, monkeypatch):
+    for seed, behind in ((13, 20_000), (17, 0)):
+        monkeypatch.setattr(corpus, "BEHIND", behind)
+        df = articles(spark, seed, 150)
+        rows = signals.coded(df, corpus.category_peers).cache()
+        for rule in (corpus.CombinedAbove(0.4), corpus.SameSubject(0.45, 0.55)):
+            edges = signals.pairs(rows, rule).select(F.col("a").alias("early"), F.col("b").alias("late"))
+            more = spark.createDataFrame([(1, 140), (30, 141), (140, 141)], "early bigint, late bigint")
+            for extra in (None, more):
+                every = (edges if extra is None else edges.union(extra)).collect()
+                want, leads = {}, []
+                for i in range(150):
+                    near = [e.early for e in every if e.late == i and e.early not in want]
+                    if near:
+                        want[i] = min(near)
+                assert dict(map(tuple, corpus.rule_leaders(rows, rule, extra).collect())) == want and len(want) > 20
+
+
 def test_vectors_are_weighed_in_shares(spark, monkeypatch):
     rows = [(i, [(f"t{j}", 1.0 + j) for j in range(1, 9) if i % j == 0]) for i in range(60)] + [(60, []), (61, None)]
     df = spark.createDataFrame(rows, "id bigint, terms array<struct<term:string,weight:double>>")
